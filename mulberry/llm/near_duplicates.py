@@ -121,9 +121,10 @@ def banded_links(classes: DataFrame, judge: Column, rank: Column | None = None,
 
     classes: ``content`` (unique), ``bands`` and what the judge needs; the judge is an expression over the columns
     ``left`` and ``right`` (structs of all other columns) of a member and its centre. Each bucket's centre is the
-    member with the smallest ``rank``, then the smallest hash of bucket and content. Members that don't go with
-    their centre stay for the next round; a bucket loses at least its centre in each, so the rounds end. ``rounds``
-    ends them earlier, where the caller has another way for the rest.
+    member with the smallest ``rank``, then the smallest hash of bucket and content; from the second round on
+    about 4, 16, ... further members join it, so that a bucket is done in a logarithm of rounds. Members that go
+    with a centre, and centres, which met everyone, leave the bucket. ``rounds`` ends the rounds earlier, where the
+    caller has another way for the rest.
     """
     rows = classes.select(F.explode("bands").alias("bucket"), "content", (rank if rank is not None else F.lit(0)).alias("rank"))
     shared = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
@@ -132,18 +133,25 @@ def banded_links(classes: DataFrame, judge: Column, rank: Column | None = None,
     links: DataFrame | None = None
     done = 0
     while True:
-        order = F.struct("rank", F.xxhash64("bucket", "content"), "content")
-        centres = open_.groupBy("bucket").agg(F.min(order).alias("c"), F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket", F.col("c.content").alias("centre"))
-        stars = checkpointed(open_.join(centres, "bucket").where("content <> centre"))
-        pairs = stars.select(F.col("content").alias("a"), F.col("centre").alias("b")).distinct()
+        order = F.struct("rank", F.xxhash64("bucket", "content").alias("h"), "content")
+        first = open_.groupBy("bucket").agg(F.min(order).alias("c"), F.count(F.lit(1)).alias("n")).where("n > 1")
+        chance = F.pmod(F.xxhash64("content", "bucket"), F.lit(1 << 30)) / (1 << 30)
+        ranked = open_.join(first, "bucket").select("bucket", "content", "rank", order.alias("o"), ((F.col("content") == F.col("c.content")) | (chance < (4**done if done else 0) / F.col("n"))).alias("centre"))
+        ranked = checkpointed(ranked)
+        centres = ranked.where("centre").select("bucket", F.col("content").alias("with"), F.col("o").alias("p"))
+        stars = ranked.join(centres, "bucket").where("o > p").select("bucket", "content", "with")
+        pairs = stars.select(F.col("content").alias("a"), F.col("with").alias("b")).distinct()
         both = pairs.join(told.select(F.col("content").alias("a"), F.col("told").alias("left")), "a").join(told.select(F.col("content").alias("b"), F.col("told").alias("right")), "b")
         found = checkpointed(both.select("a", "b", judge.alias("verdict")).where("verdict > 0"))
         links = found if links is None else links.unionByName(found)
-        failed = stars.join(found, (F.col("content") == F.col("a")) & (F.col("centre") == F.col("b")), "left_anti")
-        left = failed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
-        open_ = checkpointed(failed.select("bucket", "content", "rank").join(left, "bucket", "left_semi"))
         done += 1
-        if done == rounds or open_.isEmpty():
+        if done == rounds:
+            return links.distinct()
+        met = stars.join(found, (F.col("content") == F.col("a")) & (F.col("with") == F.col("b"))).select("bucket", "content").distinct()
+        failed = ranked.where("not centre").select("bucket", "content", "rank").join(met, ["bucket", "content"], "left_anti")
+        left = failed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
+        open_ = checkpointed(failed.join(left, "bucket", "left_semi"))
+        if open_.isEmpty():
             return links.distinct()
 
 
