@@ -21,7 +21,7 @@ def query_metrics(ranked: DataFrame, truth: DataFrame, cutoffs: tuple[int, ...]
         "query_id",
         *[F.coalesce((first <= k).cast("int"), F.lit(0)).alias(f"recall{k}") for k in cutoffs],
         F.round(F.coalesce(1 / first, F.lit(0.0)), 6).alias("rr"),
-        F.round(F.when(most > 0, F.col("dcg") / ideal).otherwise(0.0), 6).alias("ndcg10"),
+        F.round(F.when(most > 0, F.coalesce("dcg", F.lit(0.0)) / ideal).otherwise(0.0), 6).alias("ndcg10"),
     )
 
 

@@ -60,16 +60,19 @@ def _ratio(a: pd.Series, b: pd.Series) -> pd.Series:
 def similar_stems(questions: DataFrame, threshold: float = DEFAULTS.dup_similarity) -> DataFrame:
     """``id_a``, ``id_b``, ``ratio``: stems whose matching-block ratio reaches the threshold, within a topic.
 
-    Candidates share a block (topic and one of eight cuts of the stem, numbers aside) and pass two bounds on the
-    ratio that need no matching: lengths and shared characters. Equal stems are compared once. The ratio compares
-    stems in the order of their ids, as matching blocks aren't symmetric.
+    Candidates share one of their four rarest blocks (topic and an eighth of the stem, numbers aside), so stock phrases that
+    many stems share never make a block, and pass a bound on the ratio by lengths. Equal stems are compared once.
+    The ratio compares stems in the order of their ids, as matching blocks aren't symmetric.
     """
     stem = T.match_form(F.regexp_replace(F.coalesce("stem", F.lit("")), r"^\s*\d{1,4}\s*[、.．]\s*", ""))
     told = questions.select("id", F.coalesce("domain", F.lit("")).alias("domain"), stem.alias("s")).where("s <> ''")
     kinds = told.groupBy("domain", "s").agg(F.min("id").alias("id"))
     cut = F.ceil(F.length("s") / 8).cast("int")
     pieces = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.substring(F.col("s"), i * cut + 1, cut))
-    blocks = kinds.select("domain", "id", "s", F.explode(F.array_distinct(F.filter(pieces, lambda p: F.length(p) >= 6))).alias("piece"))
+    blocks = kinds.select("domain", "id", "s", F.explode(F.array_distinct(F.filter(pieces, lambda p: F.length(p) >= 3))).alias("piece"))
+    often = blocks.groupBy("domain", "piece").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    own = Window.partitionBy("id").orderBy("n", "piece")
+    blocks = blocks.join(often, ["domain", "piece"]).withColumn("__r", F.row_number().over(own)).where("__r <= 4")
     a, b = (blocks.select("domain", "piece", F.col("id").alias(f"id_{n}"), F.col("s").alias(f"s_{n}")) for n in "ab")
     pairs = a.join(b, ["domain", "piece"]).where("id_a < id_b").select("id_a", "id_b", "s_a", "s_b").distinct()
     la, lb = F.length("s_a"), F.length("s_b")
