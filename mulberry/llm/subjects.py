@@ -34,10 +34,11 @@ _CLAUSE = re.compile(r"[。；;，,？?！!：:（）()\n\r…]+")
 
 
 def clauses(fold, stem: str | None) -> list[str]:
-    """The clauses of a stem in the consistent form, without number and without clauses that set something aside."""
+    """The clauses of a stem in the consistent form, without number and without clauses that set something aside; all
+    numbers count alike."""
     if not stem:
         return []
-    return [c for c in _CLAUSE.split(without_number(fold(stem)).lower()) if len(c) > 1 and not SET_ASIDE.search(c)]
+    return [c for c in _CLAUSE.split(re.sub(r"\d+", "0", without_number(fold(stem)).lower())) if len(c) > 1 and not SET_ASIDE.search(c)]
 
 
 def hashed(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
