@@ -29,8 +29,8 @@ def _title(c: str = "text"):
     return F.regexp_extract(F.coalesce(F.col(c), F.lit("")), "^([^\n。，]{1,30})\n", 1)
 
 
-def _asked(spark, d) -> DataFrame:
-    return table(spark, d, "question_signals").where("id % 100 = 0").select(F.col("id").alias("query_id"), F.coalesce("question", F.lit("")).alias("query"), F.nullif(F.trim("domain"), F.lit("")).alias("topic"))
+def _asked(spark, d, every: int = 100) -> DataFrame:
+    return table(spark, d, "question_signals").where(F.col("id") % every == 0).select(F.col("id").alias("query_id"), F.coalesce("question", F.lit("")).alias("query"), F.nullif(F.trim("domain"), F.lit("")).alias("topic"))
 
 
 def _corpus(spark, d) -> DataFrame:
@@ -58,12 +58,17 @@ def embedded(df: DataFrame, key: str, text: str, bins: int = 256) -> DataFrame:
     return told.mapInPandas(embed, f"id {df.schema[key].dataType.simpleString()}, vector array<float>")
 
 
-def q_hybrid_search(spark, d):
-    asked, corpus = _asked(spark, d), _corpus(spark, d)
+def hybrid_search(spark, d, every: int = 100) -> DataFrame:
+    """Search with the questions whose id is divisible by ``every``."""
+    asked, corpus = _asked(spark, d, every), _corpus(spark, d)
     near = dense.cosine_top_k(embedded(asked, "query_id", "query").withColumnRenamed("id", "query_id"), embedded(corpus, "id", "text"), S.dense_k)
     return retrieve.search(asked, corpus, near)
 
 
+def q_hybrid_search(spark, d):
+    return hybrid_search(spark, d)
+
+
 def q_degraded_search(spark, d):
     return retrieve.search(_asked(spark, d), _corpus(spark, d))
 
