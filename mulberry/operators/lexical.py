@@ -8,14 +8,19 @@ from pyspark.sql import functions as F
 from mulberry.config import DEFAULTS
 
 
-def postings(corpus: DataFrame, tokens: Column, key: str = "id") -> DataFrame:
-    """``term``, key, ``tf``, ``length``, ``df``, ``n_docs``, ``avg_length``: documents without tokens count with length 0."""
-    docs = corpus.select(F.col(key), tokens.alias("__t"))
-    sized = docs.select(key, F.size("__t").alias("length"), "__t")
-    stats = sized.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("length").alias("avg_length"))
-    tf = sized.select(key, "length", F.explode("__t").alias("term")).groupBy("term", key, "length").agg(F.count(F.lit(1)).alias("tf"))
-    df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    return tf.join(df, "term").crossJoin(F.broadcast(stats))  # one row
+def postings(corpus: DataFrame, tokens: Column, key: str = "id", asked: DataFrame | None = None) -> DataFrame:
+    """``term``, key, ``tf``, ``length``, ``df``, ``n_docs``, ``avg_length``: documents without tokens count with length 0.
+
+    The counts of (term, document) are shuffled once; frequencies, lengths and totals reuse that exchange. asked: queries
+    (with ``tokens``) the index is made for; only their terms are kept then, lengths and totals still count all.
+    """
+    tf = corpus.select(F.col(key), F.explode(tokens).alias("term")).groupBy("term", key).agg(F.count(F.lit(1)).alias("tf"))
+    lengths = tf.groupBy(key).agg(F.sum("tf").alias("length"))
+    docs = corpus.agg(F.count(F.lit(1)).alias("n_docs"))
+    stats = tf.agg(F.sum("tf").alias("all")).crossJoin(docs).select("n_docs", (F.col("all") / F.col("n_docs")).alias("avg_length"))
+    kept = tf if asked is None else tf.join(asked.select(F.explode("tokens").alias("term")).distinct(), "term", "left_semi")
+    df = kept.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    return kept.join(df, "term").join(lengths, key).crossJoin(F.broadcast(stats))  # one row
 
 
 def bm25(queries: DataFrame, index: DataFrame, key: str = "id", k1: float = DEFAULTS.bm25_k1, b: float = DEFAULTS.bm25_b) -> DataFrame:

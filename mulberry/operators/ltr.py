@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from mulberry.session import checkpointed
+
 
 def train(matrix: DataFrame, names: Sequence[str], label: str = "label", strength: float = 1.0, rounds: int = 100) -> dict:
     """A model for rerank.logistic_score: mean and (population) scale of each feature, coefficients, intercept.
@@ -16,7 +18,7 @@ def train(matrix: DataFrame, names: Sequence[str], label: str = "label", strengt
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import VectorAssembler
 
-    told = matrix.where(F.col(label).isNotNull()).select(F.col(label).cast("double").alias("__y"), *[F.col(n).cast("double").alias(n) for n in names])
+    told = checkpointed(matrix.where(F.col(label).isNotNull()).select(F.col(label).cast("double").alias("__y"), *[F.col(n).cast("double").alias(n) for n in names]))
     sums = told.agg(F.count(F.lit(1)).alias("__n"), F.sum("__y").alias("__pos"), *[F.avg(n).alias(f"m_{n}") for n in names], *[F.stddev_pop(n).alias(f"s_{n}") for n in names]).first()
     mean, scale = [sums[f"m_{n}"] or 0.0 for n in names], [sums[f"s_{n}"] or 0.0 for n in names]
     if not sums['__pos'] or sums['__pos'] == sums['__n']:

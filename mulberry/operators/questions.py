@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from mulberry.config import DEFAULTS
 from mulberry.functions import text as T
 from mulberry.operators.catalog import first_with_key
+from mulberry.operators.records import let
 
 # Subject areas by key words, in the order in which ties are decided.
 TOPIC_WORDS = (
@@ -41,10 +42,12 @@ def topic_of_file(name: Column) -> Column:
 
 def topic_by_words(text: Column, rules: Sequence[tuple[str, Sequence[str]]] = TOPIC_WORDS) -> Column:
     """The topic with the most of its words in the text; ties go to the earlier rule, null without any."""
-    low = F.lower(text)
-    hits = F.array(*[F.struct(sum((F.contains(low, F.lit(w.lower())).cast("int") for w in words), F.lit(0)).alias("n"), F.lit(-i).alias("i"), F.lit(t).alias("t")) for i, (t, words) in enumerate(rules)])
-    best = F.array_max(hits)
-    return F.when(best["n"] > 0, best["t"])
+
+    def best(low: Column) -> Column:
+        hits = [F.struct(sum((F.contains(low, F.lit(w.lower())).cast("int") for w in words), F.lit(0)).alias("n"), F.lit(-i).alias("i"), F.lit(t).alias("t")) for i, (t, words) in enumerate(rules)]
+        return F.array_max(F.array(*hits))
+
+    return let(let(F.lower(text), best), lambda b: F.when(b["n"] > 0, b["t"]))
 
 
 def prefix_duplicates(questions: DataFrame, length: int = 40, strip_number: bool = False) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from mulberry.config import DEFAULTS, Settings
 from mulberry.functions import text as T
 from mulberry.operators import fusion, lexical, rerank
+from mulberry.session import checkpointed
 
 
 def hashed_vectors(df: DataFrame, key: str, text: str, bins: int = 256) -> DataFrame:
@@ -26,8 +27,10 @@ def search(queries: DataFrame, corpus: DataFrame, dense: DataFrame | None = None
     """
     asked = queries.select("query_id", "topic", T.rewritten(F.col("query")).alias("query"))
     tokens = asked.select("query_id", T.tokens(F.col("query")).alias("tokens"))
-    index = lexical.postings(corpus.select("id", "text"), T.tokens(F.coalesce("text", F.lit(""))))
-    sparse = lexical.top_k(lexical.bm25(tokens, index).where("score > 0"), settings.degraded_sparse_k)
+    index = lexical.postings(corpus.select("id", "text"), T.tokens(F.coalesce("text", F.lit(""))), asked=tokens)
+    # what was recalled is small (60 rows a query) and used five times
+    sparse = checkpointed(lexical.top_k(lexical.bm25(tokens, index).where("score > 0"), settings.degraded_sparse_k))
+    dense = None if dense is None else checkpointed(dense)
     recalled = sparse if dense is None else sparse.where(F.col("rank") <= settings.sparse_k)
     lists = [(recalled, 1.0)] + ([(dense.where(F.col("rank") <= settings.dense_k), 1.0)] if dense is not None else [])
     fused = fusion.reciprocal_rank(lists, settings.rrf_k)
@@ -39,7 +42,8 @@ def search(queries: DataFrame, corpus: DataFrame, dense: DataFrame | None = None
     dense_score = dense.select("query_id", "id", F.col("score").alias("dense_score")) if dense is not None else None
     full = kept.join(known, "id").join(asked.select("query_id", "query"), "query_id").withColumn("terms", T.tokens(F.col("query")))
     full = full.join(dense_score, ["query_id", "id"], "left") if dense is not None else full.withColumn("dense_score", F.lit(None).cast("double"))
-    ranked = rerank.reranked(full.withColumn("element", element).withColumn("context", F.lit(False)))
+    shown = rerank.reranked(full.withColumn("element", element).withColumn("context", F.lit(False)))
+    ranked = checkpointed(shown.select("query_id", "id", "feature_score", "new_rank", "domain", "title", "source", "text"))
     folded = rerank.fold_versions(ranked.select("query_id", "id", F.col("new_rank").alias("rank"), "domain", "title", "source", "text"))
     scores = ranked.select("query_id", "id", F.col("feature_score").alias("score"))
     return lexical.top_k(folded.join(scores, ["query_id", "id"]).withColumn("order", -F.col("slot")), settings.k, by="order").select("query_id", "id", "rank", "score")

@@ -7,7 +7,7 @@ are a parameter; the defaults are the published ones, from memory, and should be
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -64,17 +64,27 @@ def review(card: dict | None, ok: bool, now: float, w: Sequence[float] = WEIGHTS
 def cards(attempts: DataFrame, weights: Sequence[float] = WEIGHTS) -> DataFrame:
     """One card per question after all its answers, in the order of time, then id.
 
-    A question's answers form a chain, so one task folds them; a fold keeps one card. Only three columns travel.
+    Rows are sorted within partitions by question and time and folded as they stream by, so a task holds one batch
+    and one card, however many answers a question has.
     """
-
-    def fold(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        card = None
-        for at, ok in rows.sort_values(["answered_at", "id"])[["answered_at", "correct"]].itertuples(index=False):
-            card = review(card, bool(ok), float(at), weights)
-        return pd.DataFrame([{"question_id": key[0], **card}])[[c.split()[0] for c in CARD.split(", ")]].astype({"step": "Int32"})
-
-    told = attempts.where("question_id is not null and answered_at is not null and correct is not null")
-    return told.select("question_id", "id", "correct", "answered_at").groupBy("question_id").applyInPandas(fold, CARD)
+    columns = [c.split()[0] for c in CARD.split(", ")]
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, card = None, None
+        for rows in batches:
+            done = []
+            for question, at, ok in zip(rows["question_id"], rows["answered_at"], rows["correct"]):
+                if question != now:
+                    if card is not None:
+                        done.append({"question_id": now, **card})
+                    now, card = question, None
+                card = review(card, bool(ok), float(at), weights)
+            yield pd.DataFrame(done, columns=columns).astype({"step": "Int32"})
+        if card is not None:
+            yield pd.DataFrame([{"question_id": now, **card}], columns=columns).astype({"step": "Int32"})
+
+    told = attempts.where("question_id is not null and answered_at is not null and correct is not null").select("question_id", "id", "correct", "answered_at")
+    return told.repartition("question_id").sortWithinPartitions("question_id", "answered_at", "id").mapInPandas(fold, CARD)
 
 
 def due_cards(cards_: DataFrame, now: float, limit: int) -> DataFrame:

@@ -6,8 +6,8 @@ from mulberry.operators import records
 from mulberry.sources.tables import table
 
 QUERIES = {
-    "p1_found": lambda spark, d: records.rejected_records(table(spark, d, "questions_raw")).select("raw_id", "reason"),
-    "p1_valid": lambda spark, d: records.valid_records(table(spark, d, "questions_raw")),
-    "p1_reasons": lambda spark, d: records.rejection_report(table(spark, d, "questions_raw")),
+    "p1_found": lambda spark, d: records.rejected_records(table(spark, d, "questions_raw", wide=True)).select("raw_id", "reason"),
+    "p1_valid": lambda spark, d: records.valid_records(table(spark, d, "questions_raw", wide=True)),
+    "p1_reasons": lambda spark, d: records.rejection_report(table(spark, d, "questions_raw", wide=True)),
 }
 SQL: dict[str, str] = {}

@@ -34,12 +34,12 @@ def _asked(spark, d, every: int = 100) -> DataFrame:
 
 
 def _corpus(spark, d) -> DataFrame:
-    return table(spark, d, "kb_chunks").select("id", "domain", "source", "page", "kind", _title().alias("title"), F.coalesce("text", F.lit("")).alias("text"))
+    return table(spark, d, "kb_chunks", wide=True).select("id", "domain", "source", "page", "kind", _title().alias("title"), F.coalesce("text", F.lit("")).alias("text"))
 
 
 def _bm25(spark, d, tokenizer=T.tokens, k: int = S.sparse_k, column: str = "text") -> DataFrame:
     asked = _asked(spark, d).select("query_id", tokenizer(F.col("query")).alias("tokens"))
-    scored = lexical.bm25(asked, lexical.postings(_corpus(spark, d).select("id", column), tokenizer(F.col(column))))
+    scored = lexical.bm25(asked, lexical.postings(_corpus(spark, d).select("id", column), tokenizer(F.col(column)), asked=asked))
     return lexical.top_k(scored.where("score > 0"), k)
 
 

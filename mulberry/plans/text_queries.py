@@ -55,7 +55,7 @@ def q_query_intent(spark, d):
 
 def q_topic_classify(spark, d):
     text = F.concat_ws(" ", "stem", F.array_join(F.map_values(F.from_json("options", "map<string,string>")), " "), "analysis")
-    return _questions(spark, d).select("id", questions.topic_by_words(text).alias("topic"))
+    return table(spark, d, "questions", wide=True).select("id", questions.topic_by_words(text).alias("topic"))
 
 
 def q_choice_grade(spark, d):
@@ -83,7 +83,7 @@ def q_hash_embed(spark, d):
 
 def q_token_stats(spark, d):
     t = T.tokens(F.coalesce("text", F.lit("")))
-    return table(spark, d, "documents").select("doc_id", t.alias("t")).select("doc_id", F.size("t").alias("tokens"), F.size(F.array_distinct("t")).alias("kinds"))
+    return table(spark, d, "documents", wide=True).select("doc_id", t.alias("t")).select("doc_id", F.size("t").alias("tokens"), F.size(F.array_distinct("t")).alias("kinds"))
 
 
 def q_strip_repeated_lines(spark, d):
@@ -106,7 +106,7 @@ def q_fixed_chunks(spark, d):
 
 
 def q_structured_chunks(spark, d):
-    return chunking.structured_chunks(_kb(spark, d))
+    return chunking.structured_chunks(table(spark, d, "kb_chunks", wide=True))
 
 
 def q_legacy_chunks(spark, d):
