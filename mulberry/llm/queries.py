@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from mulberry.llm import lookalikes, near_duplicates, packing, splitting, subjects, survivorship, tokenization, truncation
+from mulberry.plans.sql import SPACES, strip
 from mulberry.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -63,6 +64,26 @@ QUERIES: dict[str, Query] = {
     "p9_shares": _on("documents", truncation.truncation_shares),
 }
 
+_WIDE = "".join(chr(c) for c in range(0xFF01, 0xFF5F))
+_NARROW = "".join(chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)).replace("'", "''")
+_narrow = lambda c: f"translate({c}, '{_WIDE}', '{_NARROW}')"
+_STAND_INS = ", ".join(f"'{w}'" for w in survivorship.STAND_INS)
+_P6 = f"""
+WITH RECURSIVE p AS (SELECT id, {strip('dup_of')} AS next FROM questions WHERE {strip('dup_of')} <> ''),
+w(id, node, path) AS (SELECT id, next, [id] FROM p UNION ALL SELECT w.id, p.next, list_append(path, node) FROM w JOIN p ON p.id = w.node WHERE NOT list_contains(path, node)),
+e AS (SELECT id, CASE WHEN list_contains(path, node) THEN list_min(list_slice(path, list_position(path, node), len(path))) ELSE node END AS root FROM w WHERE list_contains(path, node) OR node NOT IN (SELECT id FROM p)),
+t AS (SELECT id, root FROM e UNION ALL SELECT DISTINCT root, root FROM e WHERE root NOT IN (SELECT id FROM p)),
+m AS (SELECT t.root AS group_id, q.*, coalesce(b.trust, -1) AS trust, regexp_replace(upper({_narrow('answer')}), '(?:{SPACES}|{survivorship.ANSWER_SEPARATORS})+', '', 'g') AS a, {strip('analysis')} AS n,
+        lower(regexp_replace({_narrow('analysis')}, '[^\\p{{L}}\\p{{N}}]+', '', 'g')) AS v, list_transform(json_keys(options), lambda k: upper(k)) AS k, count(*) OVER (PARTITION BY t.root) AS members
+      FROM t JOIN questions q USING (id) LEFT JOIN publishers b ON b.publisher = string_split(q.source, '_')[1]),
+r AS (SELECT group_id, 'answer' AS field, id, row_number() OVER (PARTITION BY group_id ORDER BY coalesce(needs_review, true), trust DESC, created_at DESC NULLS LAST, id) AS i FROM m
+      WHERE members > 1 AND regexp_full_match(a, '[A-Z]+') AND len(list_distinct(string_split(a, ''))) = length(a) AND len(list_filter(string_split(a, ''), lambda x: NOT list_contains(k, x))) = 0
+      UNION ALL SELECT group_id, 'analysis', id, row_number() OVER (PARTITION BY group_id ORDER BY coalesce(needs_review, true), length(n) DESC, trust DESC, created_at DESC NULLS LAST, id) FROM m
+      WHERE members > 1 AND v <> '' AND v NOT IN ({_STAND_INS}))
+SELECT group_id, field, id FROM r WHERE i = 1
+"""
+
 SQL: dict[str, str] = {
     "p4_found": "SELECT id FROM kb_chunks WHERE length(text) > 1200",
+    "p6_found": _P6,
 }
