@@ -42,8 +42,8 @@ def q_streaks(spark, d):
 
 def q_beta_mastery(spark, d):
     told = _attempts(spark, d).groupBy("question_id").agg(F.count(F.lit(1)).alias("n"), F.count_if("correct").alias("c"))
-    small = told.where("n <= 400")
-    return small.select("question_id", learner.mastery(F.col("c"), F.col("n") - F.col("c")).alias("mastery"), F.round(learner.binomial_tail(F.col("c") + 1, F.col("n") - F.col("c") + 1, 0.6), 6).alias("p_below"))
+    c, wrong = F.col("c"), F.col("n") - F.col("c")
+    return told.select("question_id", learner.mastery(c, wrong).alias("mastery"), F.round(learner.probability_below(c + 1, wrong + 1, 0.6), 6).alias("p_below"))
 
 
 def q_confidence(spark, d):

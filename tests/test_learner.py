@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from mulberry.operators import learner, metrics, schedule
+from mulberry.plans import learner_queries
 
 ATTEMPTS = "id bigint, question_id string, domain string, choice string, correct boolean, answered_at double"
 
@@ -102,3 +103,12 @@ def test_cards_order_and_growth(spark):
     told = {r.question_id: r for r in schedule.cards(df).collect()}
     assert told["q"].reps == 2 and told["q"].lapses == 1 and told["q"].last_review == 10.0 and math.isclose(told["r"].stability, schedule.WEIGHTS[2])
     assert [r.question_id for r in schedule.due_cards(schedule.cards(df), 1e12, 1).collect()] == ["r"]
+
+
+def test_mastery_has_the_questions_with_many_attempts(spark, tmp_path):
+    marks = [True] * 250 + [False] * 200
+    rows = [(i, "hot", "t", "A", ok, float(i)) for i, ok in enumerate(marks)] + [(900, "one", "t", "A", True, 1.0)]
+    spark.createDataFrame(rows, ATTEMPTS).write.parquet(f"{tmp_path}/attempts.parquet")
+    told = {r.question_id: r for r in learner_queries.q_beta_mastery(spark, str(tmp_path)).collect()}
+    tail = sum(math.comb(451, j) * 0.6**j * 0.4 ** (451 - j) for j in range(251, 452))
+    assert told["hot"].mastery == 0.5553 and abs(told["hot"].p_below - tail) < 2e-6 and set(told) == {"hot", "one"}
