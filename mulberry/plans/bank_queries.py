@@ -60,7 +60,7 @@ def q_citation_support(spark, d):
 
 def q_source_display(spark, d):
     """The first four sources of each topic's chunks as shown beside an answer."""
-    told = table(spark, d, "kb_chunks").where("page = 1").groupBy("domain").agg(F.array_sort(F.collect_set("source")).alias("s"))
+    told = table(spark, d, "kb_chunks").groupBy("domain").agg(F.array_sort(F.collect_set("source")).alias("s"))
     return told.select("domain", F.array_join(F.slice("s", 1, 4), "、").alias("sources"))
 
 

@@ -3,6 +3,7 @@ import json
 from pyspark.sql import functions as F
 
 from mulberry.operators import banks, ltr, rerank, tables
+from mulberry.plans import bank_queries
 from mulberry.sources import files
 
 
@@ -82,3 +83,8 @@ def test_files(spark, tmp_path):
     files.write_rows(df, str(tmp_path / "j"), "json")
     assert files.json_rows(spark, str(tmp_path / "j"), "n int").count() == 1
     assert files.jdbc_table(spark, "jdbc:none:x", "t") is None
+
+
+def test_sources_of_all_pages(spark, tmp_path):
+    spark.createDataFrame([("t", "b", 1), ("t", "a", 7), ("t", "c", None), ("u", "d", 2)], "domain string, source string, page int").write.parquet(f"{tmp_path}/kb_chunks.parquet")
+    assert {r.domain: r.sources for r in bank_queries.q_source_display(spark, str(tmp_path)).collect()} == {"t": "a、b、c", "u": "d"}
