@@ -6,6 +6,9 @@ answered_at (epoch seconds). Order-dependent values replay each topic's attempts
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,28 +25,35 @@ def ask_signals(signals: DataFrame) -> DataFrame:
     return signals.where("domain is not null").groupBy("domain").agg(F.count(F.lit(1)).alias("asks"), F.max("created_at").alias("last_ask"))
 
 
-def replay(attempts: DataFrame, by: str, settings: Settings = DEFAULTS, window: int = 20_000) -> DataFrame:
+def replay(attempts: DataFrame, by: str, settings: Settings = DEFAULTS, window: int | None = None) -> DataFrame:
     """``by``, ``elo`` after replaying all attempts of a key.
 
-    An answer is played against 1500 + (accuracy so far, this answer included, - 0.5) * 800. The accuracy needs all
-    attempts, but a step r + K(o - E(r)) draws ratings together, so the value the last ``window`` steps started from has
-    no effect that shows (below 1e-9 unless nearly all answers are alike). Earlier attempts count by their sums,
-    only the window is folded in order: a key with a third of all attempts costs one short array.
+    An answer is played against 1500 + (accuracy so far, this answer included, - 0.5) * 800. Rows are sorted within
+    partitions by key and time and folded as they stream by, so a task holds one batch and one rating, however many
+    attempts a key has. Every attempt is folded; ``window`` has no effect, it is kept for callers that name it.
     """
-    order = (F.col("answered_at").desc(), F.col("id").desc())
-    w = Window.partitionBy(by).orderBy(*order)
-    last = attempts.select(by, "answered_at", "id", F.col("correct").cast("int").alias("ok")).withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= window)
-    steps = last.groupBy(by).agg(F.array_sort(F.collect_list(F.struct("answered_at", "id", "ok"))).alias("steps"), F.count(F.lit(1)).alias("n1"), F.sum("ok").alias("c1"))
-    total = attempts.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.count_if("correct").alias("c"))
-    zero = F.struct(F.lit(settings.elo_start).alias("r"), (F.col("n") - F.col("n1")).cast("double").alias("n"), (F.col("c") - F.col("c1")).cast("double").alias("c"))
-
-    def step(a: Column, x: Column) -> Column:
-        n, c = a["n"] + 1, a["c"] + x["ok"]
-        opponent = 1500.0 + (c / n - 0.5) * 800.0
-        expected = 1 / (1 + F.pow(F.lit(10.0), (opponent - a["r"]) / 400.0))
-        return F.struct((a["r"] + settings.elo_k * (x["ok"] - expected)).alias("r"), n.alias("n"), c.alias("c"))
-
-    return total.join(steps, by).select(by, F.round(F.aggregate("steps", zero, step)["r"], 4).alias("elo"))
+    start, k = settings.elo_start, settings.elo_k
+    kind = attempts.schema[by].dataType.simpleString()
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, r, n, c = None, start, 0, 0
+        for rows in batches:
+            done = []
+            for key, ok in zip(rows["key"], rows["ok"].tolist()):
+                if n == 0 or key != now:
+                    if n:
+                        done.append((now, r))
+                    now, r, n, c = key, start, 0, 0
+                n, c = n + 1, c + ok
+                opponent = 1500.0 + (c / n - 0.5) * 800.0
+                r += k * (ok - 1 / (1 + 10.0 ** ((opponent - r) / 400.0)))
+            yield pd.DataFrame(done, columns=["key", "elo"])
+        if n:
+            yield pd.DataFrame([(now, r)], columns=["key", "elo"])
+
+    told = attempts.select(F.col(by).alias("key"), "answered_at", "id", F.col("correct").cast("int").alias("ok"))
+    ratings = told.repartition("key").sortWithinPartitions("key", "answered_at", "id").select("key", "ok").mapInPandas(fold, f"key {kind}, elo double")
+    return ratings.select(F.col("key").alias(by), F.round("elo", 4).alias("elo"))
 
 
 def streaks(attempts: DataFrame, by: str, span: float = 86400.0) -> DataFrame:

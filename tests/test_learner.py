@@ -33,6 +33,12 @@ def test_replay_by_window_equals_whole_replay(spark):
     assert learner.replay(df, "domain").first().elo == slow_elo(marks)
 
 
+def test_replay_folds_every_attempt_of_a_long_key(spark):
+    marks = [True] * 25_000
+    df = attempts(spark, marks).union(attempts(spark, [False, True], "u"))
+    assert {r.domain: r.elo for r in learner.replay(df.orderBy(F.desc("id")), "domain").collect()} == {"t": slow_elo(marks), "u": slow_elo([False, True])}
+
+
 @pytest.mark.parametrize("marks,want", [("1101110", (0, 3)), ("0111", (3, 3)), ("000", (0, 0)), ("1", (1, 1)), ("1111", (4, 4))])
 @pytest.mark.parametrize("span", [1.0, 2.0, 3.0, 100.0])
 def test_streaks(spark, marks, want, span):
