@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import difflib
+from collections import Counter
 from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -56,31 +58,77 @@ def prefix_duplicates(questions: DataFrame, length: int = 40, strip_number: bool
     return first_with_key(questions.select("id", F.left(T.match_form(F.coalesce(stem, F.lit(""))), F.lit(length)).alias("key"), F.col("id").alias("ord")), "key", "ord")
 
 
-def _ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)])
+def _counted(stems: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The characters of the stems, each with the number of its occurrence as one code, and the stem each is of."""
+    codes = np.frombuffer("".join(stems).encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.int64)
+    owner = np.repeat(np.arange(len(stems)), [len(s) for s in stems])
+    order = np.lexsort((codes, owner))
+    codes, owner = codes[order], owner[order]
+    new = np.r_[True, (codes[1:] != codes[:-1]) | (owner[1:] != owner[:-1])]
+    at = np.arange(len(codes))
+    return (codes << 32) | (at - np.maximum.accumulate(np.where(new, at, 0))), owner
 
 
-def similar_stems(questions: DataFrame, threshold: float = DEFAULTS.dup_similarity) -> DataFrame:
+def _alike(a: list[str], b: list[str], threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of stems whose shared characters (a bound of the matching blocks) allow a ratio of the threshold."""
+    (ca, oa), (cb, ob) = _counted(a), _counted(b)
+    words = np.intersect1d(ca, cb)
+    x, y = np.zeros((len(a), len(words)), np.float32), np.zeros((len(b), len(words)), np.float32)
+    for m, c, o in ((x, ca, oa), (y, cb, ob)):
+        held = np.isin(c, words)
+        m[o[held], np.searchsorted(words, c[held])] = 1
+    lengths = np.array([len(s) for s in a], np.float32)[:, None] + np.array([len(s) for s in b], np.float32)[None, :]
+    return np.nonzero(2 * (x @ y.T) >= (threshold - 1e-5) * lengths)
+
+
+def _shared_pairs(a: str, b: str) -> int:
+    n = Counter(zip(a, a[1:]))
+    return sum(min(k, n[t]) for t, k in Counter(zip(b, b[1:])).items() if t in n)
+
+
+def _ratio(a: str, b: str, threshold: float) -> float:
+    """The matching-block ratio, or 0 where the shared pairs of characters rule out the threshold: M matched characters lie in
+    no more blocks than there are unmatched ones, and one, and a block of n has n - 1 pairs."""
+    both = len(a) + len(b)
+    if _shared_pairs(a, b) < (1.5 * (threshold - 1e-5) - 1) * both - 1:
+        return 0.0
+    return round(difflib.SequenceMatcher(None, a, b).ratio(), 6)
+
+
+def similar_stems(questions: DataFrame, threshold: float = DEFAULTS.dup_similarity, block: int = 2048) -> DataFrame:
     """``id_a``, ``id_b``, ``ratio``: stems whose matching-block ratio reaches the threshold, within a topic.
 
-    Candidates share one of their four rarest blocks (topic and an eighth of the stem, numbers aside), so stock phrases that
-    many stems share never make a block, and pass a bound on the ratio by lengths. Equal stems are compared once.
+    Every pair of different stems of a topic is bounded by the characters it shares, as products of blocks of stems, so
+    none is missed; what passes is bounded by its pairs of characters and compared. Equal stems are one class, named by its
+    smallest id: pairs are of classes, and each other id of a class has one row with the class and ratio 1.
     The ratio compares stems in the order of their ids, as matching blocks aren't symmetric.
     """
     stem = T.match_form(F.regexp_replace(F.coalesce("stem", F.lit("")), r"^\s*\d{1,4}\s*[、.．]\s*", ""))
     told = questions.select("id", F.coalesce("domain", F.lit("")).alias("domain"), stem.alias("s")).where("s <> ''")
-    kinds = told.groupBy("domain", "s").agg(F.min("id").alias("id"))
-    cut = F.ceil(F.length("s") / 8).cast("int")
-    pieces = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.substring(F.col("s"), i * cut + 1, cut))
-    blocks = kinds.select("domain", "id", "s", F.explode(F.array_distinct(F.filter(pieces, lambda p: F.length(p) >= 3))).alias("piece"))
-    often = blocks.groupBy("domain", "piece").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    own = Window.partitionBy("id").orderBy("n", "piece")
-    blocks = blocks.join(often, ["domain", "piece"]).withColumn("__r", F.row_number().over(own)).where("__r <= 4")
-    a, b = (blocks.select("domain", "piece", F.col("id").alias(f"id_{n}"), F.col("s").alias(f"s_{n}")) for n in "ab")
-    pairs = a.join(b, ["domain", "piece"]).where("id_a < id_b").select("id_a", "id_b", "s_a", "s_b").distinct()
-    la, lb = F.length("s_a"), F.length("s_b")
-    bounded = pairs.where(2 * F.least(la, lb) / (la + lb) >= threshold)
-    return bounded.select("id_a", "id_b", F.round(F.pandas_udf(_ratio, "double")("s_a", "s_b"), 6).alias("ratio")).where(F.col("ratio") >= threshold)
+    kinds = told.groupBy("domain", "s").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n"))
+    copies = told.join(kinds.where("n > 1"), ["domain", "s"]).where("id <> first").select(F.col("first").alias("id_a"), F.col("id").alias("id_b"), F.lit(1.0).alias("ratio")).distinct()
+    of = kinds.groupBy("domain").agg(F.ceil(F.count(F.lit(1)) / block).alias("of"))
+    dealt = kinds.join(of, "domain").withColumn("at", F.pmod(F.xxhash64("first"), F.col("of")))
+    blocks = dealt.groupBy("domain", "of", "at").agg(F.collect_list(F.struct("first", "s")).alias("held"))
+    met = blocks.select("domain", "at", "held", F.explode(F.sequence(F.lit(0).cast("long"), F.col("of") - 1)).alias("other"))
+    met = met.select("domain", F.least("at", "other").alias("lo"), F.greatest("at", "other").alias("hi"), "at", F.col("held.first").alias("ids"), F.col("held.s").alias("stems"))
+    kind = questions.schema["id"].dataType.simpleString()
+
+    def compare(rows: pd.DataFrame) -> pd.DataFrame:
+        if len(rows) == 1 and rows["lo"].iloc[0] != rows["hi"].iloc[0]:  # no stem was dealt to the other block
+            return pd.DataFrame({"id_a": [], "id_b": [], "ratio": []})
+        rows = rows.sort_values("at")
+        ids, stems, ids2, stems2 = (list(rows[c].iloc[k]) for k in (0, -1) for c in ("ids", "stems"))
+        found = []
+        for i, j in zip(*_alike(stems, stems2, threshold)):
+            if len(rows) > 1 or i < j:
+                (p, a), (q, b) = sorted([(ids[i], stems[i]), (ids2[j], stems2[j])])
+                found.append((p, q, _ratio(a, b, threshold)))
+        out = pd.DataFrame(found, columns=["id_a", "id_b", "ratio"])
+        return out[out["ratio"] >= threshold]
+
+    met = met.repartition(8 * met.sparkSession.sparkContext.defaultParallelism, "domain", "lo", "hi")  # a block pair is work, however few its bytes
+    return met.groupBy("domain", "lo", "hi").applyInPandas(compare, f"id_a {kind}, id_b {kind}, ratio double").unionByName(copies)
 
 
 def self_check(questions: DataFrame) -> DataFrame:

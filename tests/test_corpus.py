@@ -1,3 +1,7 @@
+import difflib
+import random
+
+import pytest
 from pyspark.sql import functions as F
 
 from mulberry.operators import catalog, chunking, memory, questions
@@ -60,6 +64,33 @@ def test_similar_stems(spark):
     assert [(r.id_a, r.id_b) for r in questions.similar_stems(q).collect()] == [("a", "b")]
 
 
+@pytest.mark.parametrize("block", [7, 2048])
+def test_similar_stems_equal_brute_force(spark, block):
+    rng = random.Random(3)
+    letters = "安全管理访问控制风险评估审计密码网络系统"
+    rows = []
+    for g in range(25):
+        base = "".join(rng.choice(letters) for _ in range(rng.choice([8, 12, 16, 30, 60, 230])))
+        cut = rng.randrange(len(base))
+        for v in (base, "新" + base, base[:cut] + "增" + base[cut:], base[1:] + "尾", base):
+            rows.append((f"q{len(rows):03d}", "d" if g % 3 else None, v))
+    first, stems = {}, {}
+    for i, d, s in rows:
+        first.setdefault((d, s), i)
+        stems.setdefault(d, {}).setdefault(s, i)
+    want = {(first[d, s], i, 1.0) for i, d, s in rows if first[d, s] != i}
+    for held in stems.values():
+        told = sorted((i, s) for s, i in held.items())
+        for n, (i, a) in enumerate(told):
+            for j, b in told[n + 1 :]:
+                r = round(difflib.SequenceMatcher(None, a, b).ratio(), 6)
+                if r >= 0.85:
+                    want.add((i, j, r))
+    df = spark.createDataFrame(rows, "id string, domain string, stem string")
+    got = [tuple(r) for r in questions.similar_stems(df, block=block).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+
+
 def test_catalog(spark):
     held = spark.createDataFrame([("a", 1)], "id string, n int")
     batch = spark.createDataFrame([("a", 5), ("b", 3), ("b", 2)], "id string, n int")
