@@ -138,3 +138,37 @@ def test_broken_documents(spark):
     shares = {r.source: (r.documents, r.broken) for r in truncation.truncation_shares(df).collect()}
     assert shares["x"] == (5, 3) and shares[None] == (12, 0)
     assert truncation.truncated(df.limit(0)).count() == 0
+
+
+def test_every_cut_meets_its_copy(spark):
+    """Cuts at any share of the text, many texts of one opening, and an ending that looks whole."""
+    rng = random.Random(8)
+    word = lambda n: "".join(chr(0x4E00 + rng.randrange(2000)) for _ in range(n))
+    rows, cut = [], set()
+    for g in range(80):
+        text = "统一的开头，所有文档都从这一段文字开始。" * 4 + "".join(word(11) + "，" + word(9) + "。" for _ in range(20))
+        rows.append((2 * g, "s", text))
+        at = [20, 84, 150, 250, 350, 470][g % 6]
+        part = text[:at]
+        part = part if part[-1] == "。" else part[: part.rindex("。") + 1]
+        rows.append((2 * g + 1, "s", part[:-1] if part.endswith("。") and g % 2 else part))
+    df = spark.createDataFrame(rows, "doc_id bigint, source string, text string")
+    got = {r.doc_id: r.early for r in truncation.broken_copies(df).collect()}
+    texts = {i: "\n".join(truncation.body_lines(t)) for i, _, t in rows}
+    want = {}
+    for i, a in texts.items():
+        verdicts = [v for b in texts.values() if (v := truncation.aligned_end(a, b))]
+        if a[-1] in truncation.CLOSING:
+            assert 1 not in verdicts and truncation.judge_end(a.split("\n"))[0] != truncation.LIST
+        elif verdicts:
+            want[i] = int(min(verdicts) == 1)
+    assert len(want) > 30 and got == want
+
+
+@pytest.mark.parametrize("n", [8, 9, 23, 24, 25, 200, 900])
+def test_a_part_names_a_key_of_the_whole(n):
+    rng = random.Random(n)
+    for _ in range(60):
+        whole = "".join(rng.choice("安全管理") for _ in range(n + rng.randrange(1, 40)))
+        part = whole[rng.choice([0, 0, 3, 8]) :][:n] if n >= 24 else whole[:n]
+        assert set(truncation.tail_keys(part)[2].tolist()) & set(truncation.tail_keys(whole)[0].tolist())
