@@ -5,12 +5,12 @@
    any number of copies costs a single row.
 3. Each set is hashed once per permutation into BINS bins (one-permutation hashing); empty bins copy from a
    randomly probed full one (optimal densification). ROWS bins make a band, a band is a bucket.
-4. In each bucket one record (the smallest hash of the bucket and the record) is the centre, candidates are only
-   its pairs with the others: n-1 pairs for n records. Candidates are verified exactly. Records that don't
-   belong with their centre form the bucket's next round, with another centre, until none is left.
+4. In each bucket one record (the smallest hash of the bucket and the record) is the centre and meets all others: n-1 pairs
+   for n records. Candidates are verified exactly. Where that didn't join all members of a bucket, every pair of
+   members not yet joined is verified too.
 5. Verified links make groups by connected components.
 
-With 5 permutations of 64 bins and 5 rows, a pair at similarity 0.65 shares a bucket with probability 0.999.
+With 5 permutations of 64 bins and 4 rows, a pair at similarity 0.6 shares none of the 80 buckets with a chance of 0.00002.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ from mulberry.llm.graphs import connected_components
 from mulberry.llm.lookalikes import ScriptModel, option_texts, script_model, without_number
 from mulberry.session import checkpointed
 
-PERMUTATIONS, BINS, ROWS = 5, 64, 5
+PERMUTATIONS, BINS, ROWS = 5, 64, 4
 _NOT_LETTER = re.compile(r"[\W_]+")
 _MIX = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB], dtype=np.uint64)
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -116,43 +116,37 @@ def _jaccard(left: pd.Series, right: pd.Series) -> pd.Series:
     return pd.Series([one(a, b) for a, b in zip(left, right)], dtype="float64")
 
 
-def banded_links(classes: DataFrame, judge: Column, rank: Column | None = None, rounds: int | None = None) -> DataFrame:
-    """``a``, ``b``, ``verdict`` of the candidate pairs that the judge accepts (verdict above 0).
+def banded_links(classes: DataFrame, judge: Column, ratio: float) -> DataFrame:
+    """``a``, ``b``, ``verdict``: accepted pairs (verdict above 0) that join every two classes which accepted pairs within
+    buckets join.
 
-    classes: ``content`` (unique), ``bands`` and what the judge needs; the judge is an expression over the columns
-    ``left`` and ``right`` (structs of all other columns) of a member and its centre. Each bucket's centre is the
-    member with the smallest ``rank``, then the smallest hash of bucket and content; from the second round on
-    about 4, 16, ... further members join it, so that a bucket is done in a logarithm of rounds. Members that go
-    with a centre, and centres, which met everyone, leave the bucket. ``rounds`` ends the rounds earlier, where the
-    caller has another way for the rest.
+    classes: ``content`` (unique), ``bands``, ``pieces`` and what the judge needs; the judge is an expression over the columns
+    ``left`` and ``right`` (structs of all other columns), the same in both orders. It never accepts sets whose sizes
+    differ by more than ``ratio``. First each bucket's centre meets all its members. Then buckets whose members aren't all
+    joined yet compare every pair that isn't: each member outside the bucket's largest component meets all members of
+    other components, so nobody leaves a bucket before it met them.
     """
-    rows = classes.select(F.explode("bands").alias("bucket"), "content", (rank if rank is not None else F.lit(0)).alias("rank"))
+    rows = classes.select(F.explode("bands").alias("bucket"), "content", F.size("pieces").alias("size"))
     shared = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
-    open_ = rows.join(shared, "bucket", "left_semi")
+    open_ = checkpointed(rows.join(shared, "bucket", "left_semi"))
     told = classes.select("content", F.struct(*[c for c in classes.columns if c not in ("content", "bands")]).alias("told"))
-    links: DataFrame | None = None
-    done = 0
-    while True:
-        order = F.struct("rank", F.xxhash64("bucket", "content").alias("h"), "content")
-        first = open_.groupBy("bucket").agg(F.min(order).alias("c"), F.count(F.lit(1)).alias("n")).where("n > 1")
-        chance = F.pmod(F.xxhash64("content", "bucket"), F.lit(1 << 30)) / (1 << 30)
-        ranked = open_.join(first, "bucket").select("bucket", "content", "rank", order.alias("o"), ((F.col("content") == F.col("c.content")) | (chance < (4**done if done else 0) / F.col("n"))).alias("centre"))
-        ranked = checkpointed(ranked)
-        centres = ranked.where("centre").select("bucket", F.col("content").alias("with"), F.col("o").alias("p"))
-        stars = ranked.join(centres, "bucket").where("o > p").select("bucket", "content", "with")
-        pairs = stars.select(F.col("content").alias("a"), F.col("with").alias("b")).distinct()
+    near = F.least("size", "with_size") >= ratio * F.greatest("size", "with_size")
+
+    def accepted(met: DataFrame) -> DataFrame:
+        pairs = met.where(near).select(F.least("content", "with").alias("a"), F.greatest("content", "with").alias("b")).distinct()
         both = pairs.join(told.select(F.col("content").alias("a"), F.col("told").alias("left")), "a").join(told.select(F.col("content").alias("b"), F.col("told").alias("right")), "b")
-        found = checkpointed(both.select("a", "b", judge.alias("verdict")).where("verdict > 0"))
-        links = found if links is None else links.unionByName(found)
-        done += 1
-        if done == rounds:
-            return links.distinct()
-        met = stars.join(found, (F.col("content") == F.col("a")) & (F.col("with") == F.col("b"))).select("bucket", "content").distinct()
-        failed = ranked.where("not centre").select("bucket", "content", "rank").join(met, ["bucket", "content"], "left_anti")
-        left = failed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
-        open_ = checkpointed(failed.join(left, "bucket", "left_semi"))
-        if open_.isEmpty():
-            return links.distinct()
+        return checkpointed(both.select("a", "b", judge.alias("verdict")).where("verdict > 0"))
+
+    centres = open_.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("bucket", "content").alias("h"), "content", "size")).alias("c"))
+    centres = centres.select("bucket", F.col("c.content").alias("with"), F.col("c.size").alias("with_size"))
+    links = accepted(open_.join(centres, "bucket").where(F.col("content") != F.col("with")))
+    roots = connected_components(links).select(F.col("node").alias("content"), "root")
+    rooted = open_.join(roots, "content", "left").withColumn("root", F.coalesce("root", "content"))
+    sizes = rooted.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n"))
+    largest = sizes.groupBy("bucket").agg(F.max(F.struct("n", "root"))["root"].alias("largest"), F.count(F.lit(1)).alias("roots")).where("roots > 1").select("bucket", "largest")
+    left = checkpointed(rooted.join(largest, "bucket"))
+    outside = left.where("root <> largest").select("bucket", F.col("content").alias("with"), F.col("size").alias("with_size"), F.col("root").alias("with_root"))
+    return links.unionByName(accepted(left.join(outside, "bucket").where("root <> with_root"))).distinct()
 
 
 def version_groups(df: DataFrame, threshold: float = 0.6) -> DataFrame:
@@ -166,7 +160,7 @@ def version_groups(df: DataFrame, threshold: float = 0.6) -> DataFrame:
     known = sketched.where("content is not null")
     classes = checkpointed(known.groupBy("content").agg(F.first("pieces").alias("pieces"), F.first("bands").alias("bands")))
     similar = F.pandas_udf(_jaccard, "double")(F.col("left.pieces"), F.col("right.pieces"))
-    roots = connected_components(banded_links(classes, (similar >= threshold).cast("int"))).select(F.col("node").alias("content"), "root")
+    roots = connected_components(banded_links(classes, (similar >= threshold).cast("int"), threshold)).select(F.col("node").alias("content"), "root")
     members = sketched.select("id", "content").join(roots, "content", "left").withColumn("root", F.coalesce("root", "content"))
     first = members.where("root is not null").groupBy("root").agg(F.min("id").alias("group_id"))
     return members.join(first, "root", "left").select("id", F.coalesce("group_id", "id").alias("group_id"), "content")

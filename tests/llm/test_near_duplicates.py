@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from mulberry.llm import near_duplicates as N
 from mulberry.llm.graphs import chain_ends, connected_components
@@ -95,3 +96,25 @@ def test_graphs(spark):
     edges = spark.createDataFrame([("a", "b"), ("b", "a"), ("c", "c"), *[(f"p{i:02d}", f"p{i + 1:02d}") for i in range(40)]], "a string, b string")
     roots = {r.node: r.root for r in connected_components(edges).collect()}
     assert roots["b"] == "a" and roots["c"] == "c" and all(roots[f"p{i:02d}"] == "p00" for i in range(41))
+
+
+def test_a_pair_at_the_threshold_shares_a_bucket():
+    rng = np.random.default_rng(4)
+    missed = 0
+    for _ in range(1500):
+        x = rng.integers(0, 2**60, 100)
+        a, b = N.band_keys([np.sort(x[:80]), np.sort(np.r_[x[:60], x[80:]])])  # 60 of 100 shared
+        missed += not (a == b).any()
+    assert missed <= 1
+
+
+@pytest.mark.parametrize("n", [5, 60])
+def test_a_bucket_joins_all_that_belongs(spark, n):
+    """One bucket of many strangers and a chain x, y, z where only neighbours are similar, in every order of hashes."""
+    chain = [[1000 + i + 30 * k for i in range(100)] for k in range(3)]
+    for tag in range(3):
+        rows = [(f"{tag}{'xyz'[k]}", [7], c) for k, c in enumerate(chain)] + [(f"{tag}s{i}", [7], list(range(10_000 * i + 50_000, 10_000 * i + 50_100))) for i in range(n)]
+        df = spark.createDataFrame(rows, "content string, bands array<bigint>, pieces array<bigint>")
+        judge = (F.pandas_udf(N._jaccard, "double")(F.col("left.pieces"), F.col("right.pieces")) >= 0.5).cast("int")
+        got = {(r.a[1:], r.b[1:]) for r in N.banded_links(df, judge, 0.5).collect()}
+        assert got == {("x", "y"), ("y", "z")}
