@@ -6,6 +6,7 @@ answered_at (epoch seconds). Order-dependent values replay each topic's attempts
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import pandas as pd
@@ -129,31 +130,41 @@ def memory_strength(days: Column, half_life: float = DEFAULTS.half_life_days) ->
     return F.when(days <= 0, 1.0).otherwise(F.pow(F.lit(2.0), -days / half_life))
 
 
-def confidence(a: Column, b: Column, tail: float = 0.05, steps: int = 40) -> Column:
-    """1 minus the width of the central 90 % interval of Beta(a, b), by the normal approximation of its logit where
-    both are 30 or more, else by bisection of the binomial tail."""
-    za = 1.6448536269514722
+def _beta_below(a: float, b: float, x: float) -> float:
+    """P(θ < x) of Beta(a, b) by the continued fraction of the incomplete beta function."""
+    if x <= 0 or x >= 1:
+        return float(x >= 1)
+    if x > (a + 1) / (a + b + 2):
+        return 1 - _beta_below(b, a, 1 - x)
+    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)) / a
+    tiny, c = 1e-300, 1.0
+    d = 1 - (a + b) * x / (a + 1)
+    d = 1 / (d if abs(d) > tiny else tiny)
+    h, m = d, 0
+    while True:
+        m += 1
+        for k in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
+            d, c = 1 + k * d, 1 + k / c
+            d, c = 1 / (d if abs(d) > tiny else tiny), c if abs(c) > tiny else tiny
+            h *= d * c
+        if abs(d * c - 1) < 1e-14 or m > 1_000_000:
+            return front * h
 
-    def quantile(p: float) -> Column:
-        def halve(s: Column, _: Column) -> Column:
-            mid = (s["l"] + s["h"]) / 2
-            below = _tail_at(a, b, mid) < p
-            return F.struct(F.when(below, mid).otherwise(s["l"]).alias("l"), F.when(below, s["h"]).otherwise(mid).alias("h"))
 
-        out = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), F.struct(F.lit(0.0).alias("l"), F.lit(1.0).alias("h")), halve)
-        return (out["l"] + out["h"]) / 2
+def confidence(a: Column, b: Column, tail: float = 0.05, steps: int = 40) -> Column:
+    """1 minus the width of the central 90 % interval of Beta(a, b), by bisection of its distribution at every size."""
 
-    mean = F.log(a / b)
-    spread = za * F.sqrt(1 / a + 1 / b)
-    wide = 1 / (1 + F.exp(-(mean + spread))) - 1 / (1 + F.exp(-(mean - spread)))
-    width = F.when((a >= 30) & (b >= 30), wide).otherwise(quantile(1 - tail) - quantile(tail))
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - width))
+    def quantile(p: float, x: float, y: float) -> float:
+        low, high = 0.0, 1.0
+        for _ in range(steps):
+            mid = (low + high) / 2
+            low, high = (mid, high) if _beta_below(x, y, mid) < p else (low, mid)
+        return (low + high) / 2
 
+    def sure(xs: pd.Series, ys: pd.Series) -> pd.Series:
+        return pd.Series([min(1.0, max(0.0, 1 - quantile(1 - tail, x, y) + quantile(tail, x, y))) if x > 0 and y > 0 else None for x, y in zip(xs, ys)], dtype="float64")
 
-def _tail_at(a: Column, b: Column, x: Column) -> Column:
-    n = a + b - 1
-    term = lambda j: F.exp(ln_gamma(n + 1.0) - ln_gamma(j + 1.0) - ln_gamma(n - j + 1.0) + j * F.log(x) + (n - j) * F.log(1 - x))
-    return F.aggregate(F.sequence(a.cast("int"), n.cast("int")), F.lit(0.0), lambda acc, j: acc + term(j))
+    return F.pandas_udf(sure, "double")(a.cast("double"), b.cast("double"))
 
 
 def topic_profile(attempts: DataFrame, signals: DataFrame, now: float, topics: DataFrame | None = None, settings: Settings = DEFAULTS) -> DataFrame:

@@ -62,6 +62,23 @@ def test_strength_and_confidence(spark):
     assert (row[0], row[1], row[2]) == (1.0, 0.5, 0.25) and abs(row.c - 0.1) < 1e-6 and 0.8 < row.w < 0.9
 
 
+@pytest.mark.parametrize("a,b,want", [(30, 30, 0.7892), (60, 40, 0.8396), (29, 30, None), (1, 500, None), (9000, 4000, None)])
+def test_confidence_is_exact_at_every_size(spark, a, b, want):
+    got = spark.range(1).select(learner.confidence(F.lit(a), F.lit(b)).alias("c")).first().c
+    n = a + b - 1
+    log_c = [math.lgamma(n + 1) - math.lgamma(j + 1) - math.lgamma(n - j + 1) for j in range(n + 1)]
+
+    def quantile(p):
+        low, high = 0.0, 1.0
+        for _ in range(40):
+            x = (low + high) / 2
+            below = sum(math.exp(log_c[j] + j * math.log(x) + (n - j) * math.log1p(-x)) for j in range(a, n + 1))
+            low, high = (x, high) if below < p else (low, x)
+        return low
+
+    assert abs(got - (1 - quantile(0.95) + quantile(0.05))) < 1e-7 and want in (None, round(got, 4))
+
+
 def test_profile_and_weights(spark):
     signals = spark.createDataFrame([(1, "t", "q", "问", "", 1.0)] * 3 + [(4, "t", "q", None, "", 1.0)], "id bigint, thread_id string, question string, domain string, intent string, created_at double")
     topics = spark.createDataFrame([("t",), ("问",), ("空",)], "domain string")
