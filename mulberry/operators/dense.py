@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from mulberry.operators.lexical import top_k
 
-BLOCK_QUERIES, BLOCK_ROWS = 512, 20_000
+BLOCK_QUERIES, BLOCK_ROWS, STEP = 8_192, 20_000, 256
 
 
 def unit(matrix: np.ndarray) -> np.ndarray:
@@ -18,6 +18,15 @@ def unit(matrix: np.ndarray) -> np.ndarray:
     return matrix / np.where(norms == 0, 1e-9, norms)
 
 
+def nearest(scores: np.ndarray, k: int) -> np.ndarray:
+    """The columns of the k largest values of each row, the largest first; of equal ones the earlier column."""
+    if k >= scores.shape[1]:
+        return np.argsort(-scores, axis=1, kind="stable")
+    least = -np.partition(-scores, k - 1, axis=1)[:, k - 1]
+    held = [np.flatnonzero(row >= x) for row, x in zip(scores, least)]
+    return np.stack([h[np.argsort(-row[h], kind="stable")[:k]] for h, row in zip(held, scores)])
+
+
 def cosine_top_k(queries: DataFrame, vectors: DataFrame, k: int, rows: int | None = None) -> DataFrame:
     """``query_id``, ``id``, ``score``, ``rank`` of the k nearest vectors of each query (itself included).
 
@@ -32,12 +41,18 @@ def cosine_top_k(queries: DataFrame, vectors: DataFrame, k: int, rows: int | Non
     right = queries.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(slices - 1).cast("long"))).alias("s"), F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("b"), "query_id", "vector")
 
     def multiply(v: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
+        none = pd.DataFrame({"query_id": q["query_id"].iloc[:0], "id": v["id"].iloc[:0].reset_index(drop=True), "score": np.empty(0)})
         if v.empty or q.empty:
-            return pd.DataFrame({"query_id": [], "id": [], "score": []})
-        scores = np.round(unit(np.stack(q["vector"]).astype(np.float64)) @ unit(np.stack(v["vector"]).astype(np.float64)).T, 6)
-        ids = v["id"].to_numpy()
-        order = np.stack([np.lexsort((ids, -row))[:k] for row in scores])
-        return pd.DataFrame({"query_id": np.repeat(q["query_id"].to_numpy(), order.shape[1]), "id": ids[order].ravel(), "score": np.take_along_axis(scores, order, axis=1).ravel()})
+            return none
+        v = v.sort_values("id", kind="stable")
+        ids, names = v["id"].to_numpy(), q["query_id"].to_numpy()
+        rows, asked = unit(np.stack(v["vector"]).astype(np.float64)), unit(np.stack(q["vector"]).astype(np.float64))
+        parts = []
+        for at in range(0, len(names), STEP):
+            scores = np.round(asked[at : at + STEP] @ rows.T, 6)
+            order = nearest(scores, k)
+            parts.append(pd.DataFrame({"query_id": np.repeat(names[at : at + STEP], order.shape[1]), "id": ids[order].ravel(), "score": np.take_along_axis(scores, order, axis=1).ravel()}))
+        return pd.concat(parts)
 
     kinds = f"query_id {queries.schema['query_id'].dataType.simpleString()}, id {vectors.schema['id'].dataType.simpleString()}, score double"
     near = left.groupBy("s", "b").cogroup(right.groupBy("s", "b")).applyInPandas(multiply, kinds)

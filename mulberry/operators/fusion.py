@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mulberry.config import DEFAULTS
-from mulberry.operators.lexical import top_k
+from mulberry.operators.lexical import ranked as ranked_rows
 
 
 def reciprocal_rank(lists: list[tuple[DataFrame, float]], k: int = DEFAULTS.rrf_k) -> DataFrame:
@@ -41,7 +41,7 @@ def topic_filter(ranked: DataFrame, sparse: DataFrame, wanted: int = DEFAULTS.k)
     w = Window.partitionBy("query_id").orderBy("rank")
     filled = more.withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= wanted - F.coalesce("have", F.lit(0)))
     cols = ["query_id", "id", "domain", "score"]
-    return top_k(kept.select(*cols, F.lit(0).alias("topped")).unionByName(filled.select(*cols, F.lit(1).alias("topped"))), 10**6)
+    return ranked_rows(kept.select(*cols, F.lit(0).alias("topped")).unionByName(filled.select(*cols, F.lit(1).alias("topped"))))
 
 
 def min_max(c: Column, by: str = "query_id") -> Column:

@@ -38,6 +38,11 @@ def top_k(scored: DataFrame, k: int, key: str = "id", by: str = "score", partiti
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def ranked(scored: DataFrame, key: str = "id", by: str = "score", partition: str = "query_id") -> DataFrame:
+    """All rows of each query with ``rank``; ties go to the smaller key."""
+    return scored.withColumn("rank", F.row_number().over(Window.partitionBy(partition).orderBy(F.col(by).desc(), F.col(key))))
+
+
 def out_of_vocabulary(queries: DataFrame, index: DataFrame, share: float = 0.99) -> DataFrame:
     """``query_id``, ``degraded``: whether less than ``share`` of a query's distinct tokens of two or more characters occur."""
     terms = queries.select("query_id", F.explode(F.array_distinct("tokens")).alias("term")).where(F.length("term") >= 2)

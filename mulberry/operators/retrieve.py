@@ -35,7 +35,7 @@ def search(queries: DataFrame, corpus: DataFrame, dense: DataFrame | None = None
     lists = [(recalled, 1.0)] + ([(dense.where(F.col("rank") <= settings.dense_k), 1.0)] if dense is not None else [])
     fused = fusion.reciprocal_rank(lists, settings.rrf_k)
     known = corpus.select("id", "domain", "source", "page", "title", "text")
-    told = lexical.top_k(fused, 10**6).join(known.select("id", "domain"), "id").join(asked.select("query_id", "topic"), "query_id")
+    told = lexical.ranked(fused).join(known.select("id", "domain"), "id").join(asked.select("query_id", "topic"), "query_id")
     more = sparse.where(F.col("rank") <= settings.topup_k).join(known.select("id", "domain"), "id").join(asked.select("query_id", "topic"), "query_id")
     kept = fusion.topic_filter(told, more, settings.k).select("query_id", "id", "score", "rank")
     element = F.when(F.contains("text", F.lit("\n|")), "table").otherwise("text")

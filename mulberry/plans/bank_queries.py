@@ -95,7 +95,7 @@ SQL = {
     "q_structural_ok": f"WITH v AS (SELECT id, answer, list_transform(json_keys(options), lambda k: json_extract_string(options, '$.' || k)) AS v FROM questions) SELECT id, regexp_matches({strip(chr(99) + 'oalesce(answer, ' + chr(39) * 2 + ')')}, '^[ABCD]$') AND len(v) = 4 AND len(list_distinct(list_filter(v, lambda x: trim(x, ' ') <> ''))) = 4 AS valid FROM v",
     "q_gold_contract": "WITH c AS (SELECT question AS id, question, coalesce(domain, '') AS topic FROM question_signals), p AS (SELECT 'repeated_id' AS problem FROM (SELECT id FROM c GROUP BY id HAVING count(*) > 1) UNION ALL SELECT 'empty_question' FROM c WHERE coalesce(trim(question, ' '), '') = '' UNION ALL SELECT 'unknown_topic' FROM c WHERE topic NOT IN (SELECT domain FROM topics) UNION ALL SELECT 'uncovered_topic' FROM topics WHERE domain NOT IN (SELECT topic FROM c)) SELECT problem, count(*) AS n FROM p GROUP BY problem",
     "q_citation_support": "SELECT id, 2 AS cited, (page IS NOT NULL)::INT + (page = 1 AND contains(source, '别处'))::INT AS supported FROM kb_chunks",
-    "q_source_display": "SELECT domain, array_to_string(list_slice(list_sort(list(DISTINCT source)), 1, 4), '、') AS sources FROM kb_chunks WHERE page = 1 GROUP BY domain",
+    "q_source_display": "SELECT domain, array_to_string(list_slice(list_sort(list(DISTINCT source)), 1, 4), '、') AS sources FROM kb_chunks GROUP BY domain",
     "q_ask_bonus": "WITH s AS (SELECT domain, count(*) AS asks FROM question_signals WHERE domain IS NOT NULL GROUP BY domain HAVING count(*) >= 3) SELECT s.domain, asks, coalesce(a.n, 0) AS attempts FROM s LEFT JOIN (SELECT domain, count(*) AS n FROM attempts GROUP BY domain) a ON a.domain = s.domain",
 }
 QUERIES = {name: f for name, f in globals().items() if name.startswith("q_")}

@@ -221,7 +221,7 @@ SQL = {
     "q_ask_signals": "SELECT domain, count(*) AS asks, max(created_at) AS last_ask FROM question_signals WHERE domain IS NOT NULL GROUP BY domain",
     "q_elo_replay": f"WITH RECURSIVE {_ELO} SELECT * FROM elo",
     "q_streaks": "WITH w AS (SELECT domain, correct, row_number() OVER (PARTITION BY domain ORDER BY answered_at, id) AS i, row_number() OVER (PARTITION BY domain, correct ORDER BY answered_at, id) AS j, count(*) OVER (PARTITION BY domain) AS n FROM attempts WHERE domain IS NOT NULL), r AS (SELECT domain, i - j AS g, count(*) AS k, max(i) AS e, max(n) AS n FROM w WHERE correct GROUP BY ALL) SELECT d.domain, coalesce(max(CASE WHEN e = n THEN k END), 0) AS streak, coalesce(max(k), 0) AS best_streak FROM (SELECT DISTINCT domain FROM w) d LEFT JOIN r USING (domain) GROUP BY d.domain",
-    "q_beta_mastery": f"WITH t AS (SELECT question_id, count(*) AS n, count_if(correct) AS c FROM attempts GROUP BY question_id) SELECT question_id, round((c + 1) / (n + 2), 4) AS mastery, round(least({_TAIL}, 1), 6) AS p_below FROM t WHERE n <= 400",
+    "q_beta_mastery": f"WITH t AS (SELECT question_id, count(*) AS n, count_if(correct) AS c FROM attempts GROUP BY question_id) SELECT question_id, round((c + 1) / (n + 2), 4) AS mastery, round(least({_TAIL}, 1), 6) AS p_below FROM t",
     "q_forgetting": f"WITH t AS (SELECT question_id, ({NOW} - max(answered_at)) / 86400 AS days FROM attempts GROUP BY question_id), s AS (SELECT question_id, round(CASE WHEN days <= 0 THEN 1 ELSE pow(2, -days / 7) END, 6) AS strength FROM t) SELECT *, strength <= 0.5 AS due FROM s",
     "q_topic_profile": f"WITH {_PROFILE} SELECT *, CASE WHEN weak THEN 'weak' WHEN ask_unverified THEN 'ask_unverified' WHEN insufficient THEN 'insufficient' WHEN due_for_review THEN 'due' ELSE 'normal' END AS status FROM f",
     "q_profile_totals": "SELECT count(*) AS attempts, count_if(correct) AS correct, round(count_if(correct) / count(*), 4) AS accuracy FROM attempts WHERE domain IS NOT NULL",

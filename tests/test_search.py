@@ -100,3 +100,16 @@ def test_topup_fills_with_the_topic(spark):
     sparse = spark.createDataFrame([(1, "b", "t", "t", 9.0, 1), (1, "c", "t", "t", 8.0, 2), (1, "e", "t", "t", 7.0, 3)], full)
     got = [(r.id, r.topped) for r in fusion.topic_filter(ranked, sparse, 2).orderBy("rank").collect()]
     assert got == [("c", 1), ("b", 0)]
+
+
+def test_dense_sides_may_be_empty(spark):
+    vectors = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [0.0, 2.0]), ("c", [0.0, 0.0])], "id string, vector array<float>")
+    asked = vectors.withColumnRenamed("id", "query_id")
+    assert [tuple(r) for r in dense.cosine_top_k(asked.where("query_id = 'a'"), vectors, 2).select("query_id", "id", "score", "rank").orderBy("rank").collect()] == [("a", "a", 1.0, 1), ("a", "b", 0.0, 2)]
+    assert dense.cosine_top_k(asked.limit(0), vectors, 2).count() == 0
+    assert dense.cosine_top_k(asked, vectors.limit(0), 2).count() == 0
+
+
+def test_nearest_breaks_ties_by_the_earlier_column():
+    scores = np.array([[0.5, 0.9, 0.5, 0.5], [0.1, 0.1, 0.1, 0.1]])
+    assert dense.nearest(scores, 2).tolist() == [[1, 0], [0, 1]] and dense.nearest(scores, 9).shape == (2, 4)
