@@ -5,9 +5,9 @@
    any number of copies costs a single row.
 3. Each set is hashed once per permutation into BINS bins (one-permutation hashing); empty bins copy from a
    randomly probed full one (optimal densification). ROWS bins make a band, a band is a bucket.
-4. In each bucket one record (the smallest hash of the bucket and the record) is the centre and meets all others: n-1 pairs
-   for n records. Candidates are verified exactly. Where that didn't join all members of a bucket, every pair of
-   members not yet joined is verified too.
+4. In each bucket one record is the centre and meets all others: n-1 pairs for n records. Candidates are verified exactly.
+   Where that didn't join all members of a bucket, members of different components meet too: in a small bucket all, in a
+   larger one those with a piece in common that is rare in the bucket, so n strangers of one template cost no n * n pairs.
 5. Verified links make groups by connected components.
 
 With 5 permutations of 64 bins and 4 rows, a pair at similarity 0.6 shares none of the 80 buckets with a chance of 0.00002.
@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mulberry.llm.graphs import connected_components
@@ -29,6 +29,8 @@ from mulberry.llm.lookalikes import ScriptModel, option_texts, script_model, wit
 from mulberry.session import checkpointed
 
 PERMUTATIONS, BINS, ROWS = 5, 64, 4
+#: Members up to which all pairs of a bucket cost no more than keys for their pieces.
+SMALL = 16
 _NOT_LETTER = re.compile(r"[\W_]+")
 _MIX = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB], dtype=np.uint64)
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -99,32 +101,60 @@ def sketches(df: DataFrame, model: ScriptModel, key: str = "id", stem: str = "st
             keys = band_keys(sets)
             yield pd.DataFrame({
                 "id": batch["id"],
-                "content": [hashlib.blake2b(s.tobytes(), digest_size=16).hexdigest() if len(s) else None for s in sets],
+                "content": [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets],
                 "pieces": sets,
                 "bands": [k if len(s) else k[:0] for s, k in zip(sets, keys)],
             })
 
     plain = df.select(F.col(key).cast("string").alias("id"), F.col(stem).alias("s"), F.col(options).alias("o"))
-    return plain.mapInPandas(sketch, "id string, content string, pieces array<bigint>, bands array<bigint>")
+    return plain.mapInPandas(sketch, "id string, content binary, pieces array<bigint>, bands array<bigint>")
 
 
-def _jaccard(left: pd.Series, right: pd.Series) -> pd.Series:
-    def one(a: np.ndarray, b: np.ndarray) -> float:
-        shared = len(np.intersect1d(a, b, assume_unique=True))
-        return shared / max(1, len(a) + len(b) - shared)
+def shared_of(left: Column, right: Column) -> Column:
+    """Shared / all of two sets, without Python."""
+    shared = F.size(F.array_intersect(left, right))
+    return shared / F.greatest(F.size(left) + F.size(right) - shared, F.lit(1))
 
-    return pd.Series([one(a, b) for a, b in zip(left, right)], dtype="float64")
 
+def _across(rows: DataFrame, near: Column) -> DataFrame:
+    """``a``, ``b``: the pairs of rows of one key whose roots differ. Only the members outside a key's largest root are sent
+    to meet the others, so a key whose members are joined costs nothing. rows: key, content, size, root."""
+    sizes = rows.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
+    largest = sizes.groupBy("key").agg(F.max(F.struct("n", "root"))["root"].alias("largest"), F.count(F.lit(1)).alias("roots")).where("roots > 1").select("key", "largest")
+    held = rows.join(largest, "key")
+    outside = held.where("root <> largest").select("key", F.col("content").alias("with"), F.col("size").alias("with_size"), F.col("root").alias("with_root"))
+    return _pairs(held.join(outside, "key").where("root <> with_root"), near)
 
-def banded_links(classes: DataFrame, judge: Column, ratio: float) -> DataFrame:
+
+def _pairs(met: DataFrame, near: Column) -> DataFrame:
+    return met.where(near).select(F.least("content", "with").alias("a"), F.greatest("content", "with").alias("b")).distinct()
+
+
+def rare_keys(rows: DataFrame, sets: DataFrame, ratio: float) -> DataFrame:
+    """The rows with a key for each rare piece of their set in their bucket, instead of one for the bucket.
+
+    Two sets whose share is at least ``ratio`` have a piece in common among the first |set| - ceil(ratio |set|) + 1 of each, in
+    any order that is the same for both (prefix filtering). Ordered by how few members of the bucket have a piece, what all
+    share comes last: strangers of one template get keys of their own, and no link is lost. rows: bucket, content, size,
+    root; sets: content, pieces.
+    """
+    told = rows.join(sets, "content").select("bucket", "content", "size", "root", F.explode("pieces").alias("piece"))
+    df = told.groupBy("bucket", "piece").agg(F.count(F.lit(1)).alias("n"))
+    kept = F.greatest(F.lit(1), F.col("size") - F.ceil(F.col("size") * ratio - 1e-9) + 1)
+    w = Window.partitionBy("bucket", "content").orderBy("n", "piece")
+    ranked = told.join(df.where("n > 1"), ["bucket", "piece"], "left").withColumn("n", F.coalesce("n", F.lit(1))).withColumn("at", F.row_number().over(w))
+    return ranked.where((F.col("at") <= kept) & (F.col("n") > 1)).select(F.xxhash64("bucket", "piece").alias("key"), "content", "size", "root")
+
+
+def banded_links(classes: DataFrame, judge: Column, ratio: float, small: int = SMALL) -> DataFrame:
     """``a``, ``b``, ``verdict``: accepted pairs (verdict above 0) that join every two classes which accepted pairs within
     buckets join.
 
     classes: ``content`` (unique), ``bands``, ``pieces`` and what the judge needs; the judge is an expression over the columns
-    ``left`` and ``right`` (structs of all other columns), the same in both orders. It never accepts sets whose sizes
-    differ by more than ``ratio``. First each bucket's centre meets all its members. Then buckets whose members aren't all
-    joined yet compare every pair that isn't: each member outside the bucket's largest component meets all members of
-    other components, so nobody leaves a bucket before it met them.
+    ``left`` and ``right`` (structs of all other columns), the same in both orders. It never accepts sets that share less than
+    ``ratio`` of all their pieces. First each bucket's centre meets all its members: a star, n-1 pairs of n members. Where
+    that leaves a bucket in several components, members of different components meet: in buckets of up to ``small`` members
+    all of them, in larger ones those with a rare piece in common (see rare_keys), which none that belong together lack.
     """
     rows = classes.select(F.explode("bands").alias("bucket"), "content", F.size("pieces").alias("size"))
     shared = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
@@ -132,21 +162,22 @@ def banded_links(classes: DataFrame, judge: Column, ratio: float) -> DataFrame:
     told = classes.select("content", F.struct(*[c for c in classes.columns if c not in ("content", "bands")]).alias("told"))
     near = F.least("size", "with_size") >= ratio * F.greatest("size", "with_size")
 
-    def accepted(met: DataFrame) -> DataFrame:
-        pairs = met.where(near).select(F.least("content", "with").alias("a"), F.greatest("content", "with").alias("b")).distinct()
+    def accepted(pairs: DataFrame) -> DataFrame:
         both = pairs.join(told.select(F.col("content").alias("a"), F.col("told").alias("left")), "a").join(told.select(F.col("content").alias("b"), F.col("told").alias("right")), "b")
-        return checkpointed(both.select("a", "b", judge.alias("verdict")).where("verdict > 0"))
+        # filtered behind the checkpoint: a filter on the verdict in the same plan would judge every pair twice
+        return checkpointed(both.select("a", "b", judge.alias("verdict"))).where("verdict > 0")
 
-    centres = open_.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("bucket", "content").alias("h"), "content", "size")).alias("c"))
+    # one order for all buckets, so that members who share many buckets meet one centre, not one a bucket
+    centres = open_.groupBy("bucket").agg(F.min(F.struct("content", "size")).alias("c"))
     centres = centres.select("bucket", F.col("c.content").alias("with"), F.col("c.size").alias("with_size"))
-    links = accepted(open_.join(centres, "bucket").where(F.col("content") != F.col("with")))
+    links = accepted(_pairs(open_.join(centres, "bucket").where(F.col("content") != F.col("with")), near))
     roots = connected_components(links).select(F.col("node").alias("content"), "root")
     rooted = open_.join(roots, "content", "left").withColumn("root", F.coalesce("root", "content"))
-    sizes = rooted.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n"))
-    largest = sizes.groupBy("bucket").agg(F.max(F.struct("n", "root"))["root"].alias("largest"), F.count(F.lit(1)).alias("roots")).where("roots > 1").select("bucket", "largest")
-    left = checkpointed(rooted.join(largest, "bucket"))
-    outside = left.where("root <> largest").select("bucket", F.col("content").alias("with"), F.col("size").alias("with_size"), F.col("root").alias("with_root"))
-    return links.unionByName(accepted(left.join(outside, "bucket").where("root <> with_root"))).distinct()
+    apart = rooted.groupBy("bucket").agg(F.count(F.lit(1)).alias("members"), F.min("root").alias("r"), F.max("root").alias("s")).where("r <> s").select("bucket", "members")
+    left = checkpointed(rooted.join(apart, "bucket"))
+    few = left.where(F.col("members") <= small).select(F.col("bucket").alias("key"), "content", "size", "root")
+    many = rare_keys(left.where(F.col("members") > small), classes.select("content", "pieces"), ratio)
+    return links.unionByName(accepted(_across(few.unionByName(many), near))).distinct()
 
 
 def version_groups(df: DataFrame, threshold: float = 0.6) -> DataFrame:
@@ -158,10 +189,13 @@ def version_groups(df: DataFrame, threshold: float = 0.6) -> DataFrame:
     """
     sketched = checkpointed(sketches(df, script_model(df, "stem", "options")))
     known = sketched.where("content is not null")
-    classes = checkpointed(known.groupBy("content").agg(F.first("pieces").alias("pieces"), F.first("bands").alias("bands")))
-    similar = F.pandas_udf(_jaccard, "double")(F.col("left.pieces"), F.col("right.pieces"))
-    roots = connected_components(banded_links(classes, (similar >= threshold).cast("int"), threshold)).select(F.col("node").alias("content"), "root")
-    members = sketched.select("id", "content").join(roots, "content", "left").withColumn("root", F.coalesce("root", "content"))
+    held = known.groupBy("content").agg(F.first("pieces").alias("pieces"), F.first("bands").alias("bands"))
+    # from here on a class is a number; the checkpoint fixes it
+    numbered = checkpointed(held.withColumnRenamed("content", "set").withColumn("content", F.monotonically_increasing_id()))
+    links = banded_links(numbered.drop("set"), (shared_of(F.col("left.pieces"), F.col("right.pieces")) >= threshold).cast("int"), threshold)
+    roots = connected_components(links)
+    rooted = numbered.select("set", "content").join(roots, F.col("content") == F.col("node"), "left").select(F.col("set").alias("content"), F.coalesce("root", "content").alias("root"))
+    members = sketched.select("id", "content").join(rooted, "content", "left")
     first = members.where("root is not null").groupBy("root").agg(F.min("id").alias("group_id"))
     return members.join(first, "root", "left").select("id", F.coalesce("group_id", "id").alias("group_id"), "content")
 

@@ -1,6 +1,8 @@
+import math
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -115,6 +117,62 @@ def test_a_bucket_joins_all_that_belongs(spark, n):
     for tag in range(3):
         rows = [(f"{tag}{'xyz'[k]}", [7], c) for k, c in enumerate(chain)] + [(f"{tag}s{i}", [7], list(range(10_000 * i + 50_000, 10_000 * i + 50_100))) for i in range(n)]
         df = spark.createDataFrame(rows, "content string, bands array<bigint>, pieces array<bigint>")
-        judge = (F.pandas_udf(N._jaccard, "double")(F.col("left.pieces"), F.col("right.pieces")) >= 0.5).cast("int")
+        judge = (N.shared_of(F.col("left.pieces"), F.col("right.pieces")) >= 0.5).cast("int")
         got = {(r.a[1:], r.b[1:]) for r in N.banded_links(df, judge, 0.5).collect()}
         assert got == {("x", "y"), ("y", "z")}
+
+
+def judged_pairs(spark, sets):
+    """How many pairs are compared for sets that are all in one bucket, and the links found."""
+    met = spark.sparkContext.accumulator(0)
+
+    @F.pandas_udf("int")
+    def judge(left: pd.DataFrame, right: pd.DataFrame) -> pd.Series:
+        met.add(len(left))
+        return pd.Series([int(len(set(a) & set(b)) >= 0.6 * len(set(a) | set(b))) for a, b in zip(left["pieces"], right["pieces"])], dtype="int32")
+
+    df = spark.createDataFrame([(i, [7, 8], s) for i, s in enumerate(sets)], "content bigint, bands array<bigint>, pieces array<bigint>")
+    links = N.banded_links(df, judge(F.col("left"), F.col("right")), 0.6).select("a", "b").distinct().collect()
+    return met.value, {(r.a, r.b) for r in links}
+
+
+@pytest.mark.parametrize("n", [200, 800])
+def test_strangers_of_one_template_cost_few_pairs(spark, n):
+    """All share 60 of their 150 pieces; two of them are versions."""
+    sets = [[*range(60), *range(1000 + 100 * i, 1090 + 100 * i)] for i in range(n)]
+    sets[n // 2] = [*range(60), *range(1010 + 100 * 5, 1090 + 100 * 5), *range(10)]
+    met, links = judged_pairs(spark, [sorted(set(s)) for s in sets])
+    assert links == {(5, n // 2)}
+    assert met <= 4 * n * math.log2(n)
+
+
+def test_versions_of_one_record_make_a_star(spark):
+    """A bucket of versions that the centre joins is never compared again."""
+    rng = random.Random(3)
+    sets = [sorted(set(range(100)) - {rng.randrange(100)} | {1000 + i}) for i in range(300)]
+    met, links = judged_pairs(spark, sets)
+    assert met == 299 and len(links) == 299
+
+
+def test_rare_keys_lose_no_link(spark):
+    """Random sets over few pieces, all in one bucket: components are those of all pairs."""
+    rng = random.Random(11)
+    base = [rng.sample(range(300), 40) for _ in range(12)]
+    sets = [sorted(set(b[: rng.randrange(25, 40)]) | set(rng.sample(range(300), rng.randrange(0, 14)))) for b in base for _ in range(8)]
+    _, links = judged_pairs(spark, sets)
+
+    def groups(pairs):
+        root = list(range(len(sets)))
+
+        def find(x):
+            while root[x] != x:
+                x = root[x]
+            return x
+
+        for a, b in pairs:
+            x, y = find(a), find(b)
+            root[max(x, y)] = min(x, y)
+        return [find(x) for x in range(len(sets))]
+
+    every = [(i, j) for i in range(len(sets)) for j in range(i) if len(set(sets[i]) & set(sets[j])) >= 0.6 * len(set(sets[i]) | set(sets[j]))]
+    assert len(every) > 20 and groups(links) == groups(every)
