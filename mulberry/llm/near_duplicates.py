@@ -162,22 +162,27 @@ def banded_links(classes: DataFrame, judge: Column, ratio: float, small: int = S
     told = classes.select("content", F.struct(*[c for c in classes.columns if c not in ("content", "bands")]).alias("told"))
     near = F.least("size", "with_size") >= ratio * F.greatest("size", "with_size")
 
-    def accepted(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(told.select(F.col("content").alias("a"), F.col("told").alias("left")), "a").join(told.select(F.col("content").alias("b"), F.col("told").alias("right")), "b")
+    def judged(pairs: DataFrame) -> DataFrame:
+        pairs = checkpointed(pairs)
+        needed = told.join(pairs.select(F.explode(F.array("a", "b")).alias("content")).distinct(), "content", "left_semi")
+        both = pairs.join(needed.select(F.col("content").alias("a"), F.col("told").alias("left")), "a").join(needed.select(F.col("content").alias("b"), F.col("told").alias("right")), "b")
         # filtered behind the checkpoint: a filter on the verdict in the same plan would judge every pair twice
-        return checkpointed(both.select("a", "b", judge.alias("verdict"))).where("verdict > 0")
+        return checkpointed(both.select("a", "b", judge.alias("verdict")))
 
     # one order for all buckets, so that members who share many buckets meet one centre, not one a bucket
     centres = open_.groupBy("bucket").agg(F.min(F.struct("content", "size")).alias("c"))
     centres = centres.select("bucket", F.col("c.content").alias("with"), F.col("c.size").alias("with_size"))
-    links = accepted(_pairs(open_.join(centres, "bucket").where(F.col("content") != F.col("with")), near))
+    stars = judged(_pairs(open_.join(centres, "bucket").where(F.col("content") != F.col("with")), near))
+    links = stars.where("verdict > 0")
     roots = connected_components(links).select(F.col("node").alias("content"), "root")
     rooted = open_.join(roots, "content", "left").withColumn("root", F.coalesce("root", "content"))
-    apart = rooted.groupBy("bucket").agg(F.count(F.lit(1)).alias("members"), F.min("root").alias("r"), F.max("root").alias("s")).where("r <> s").select("bucket", "members")
-    left = checkpointed(rooted.join(apart, "bucket"))
+    apart = rooted.groupBy("bucket").agg(F.count(F.lit(1)).alias("members"), F.min("content").alias("centre"), F.min("root").alias("r"), F.max("root").alias("s"))
+    # the centre has met everyone
+    left = checkpointed(rooted.join(apart.where("r <> s and members > 2").select("bucket", "members", "centre"), "bucket").where("content <> centre").drop("centre"))
     few = left.where(F.col("members") <= small).select(F.col("bucket").alias("key"), "content", "size", "root")
     many = rare_keys(left.where(F.col("members") > small), classes.select("content", "pieces"), ratio)
-    return links.unionByName(accepted(_across(few.unionByName(many), near))).distinct()
+    rest = judged(_across(few.unionByName(many), near).join(stars.select("a", "b"), ["a", "b"], "left_anti"))
+    return links.unionByName(rest.where("verdict > 0"))
 
 
 def version_groups(df: DataFrame, threshold: float = 0.6) -> DataFrame:
