@@ -30,7 +30,9 @@ from mulberry.session import checkpointed
 
 PERMUTATIONS, BINS, ROWS = 5, 64, 4
 #: Members up to which all pairs of a bucket cost no more than keys for their pieces.
-SMALL = 16
+SMALL = 48
+#: Words of 64 bits in which a set's pieces are marked, to rule out pairs without shipping the sets.
+MARKS = 8
 _NOT_LETTER = re.compile(r"[\W_]+")
 _MIX = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB], dtype=np.uint64)
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -84,6 +86,24 @@ def band_keys(sets: list[np.ndarray], permutations: int = PERMUTATIONS, bins: in
     return np.stack(keys, axis=1).astype(np.int64) if len(sets) else np.empty((0, permutations * bands), np.int64)
 
 
+def mark_words(sets: list[np.ndarray], words: int = MARKS) -> np.ndarray:
+    """One row of ``words`` numbers per set: the bits its pieces hash to."""
+    out = np.zeros(len(sets) * words, np.uint64)
+    if len(sets):
+        bit = mix(np.concatenate(sets).astype(np.uint64), 101) % np.uint64(64 * words)
+        owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+        np.bitwise_or.at(out, owner * words + (bit // np.uint64(64)).astype(np.int64), np.uint64(1) << (bit % np.uint64(64)))
+    return out.reshape(len(sets), words).astype(np.int64)
+
+
+def may_reach(ratio: float, words: int = MARKS) -> Column:
+    """Whether two sets (columns size_l, size_r, l0.. and r0..) may share ``ratio`` of all their pieces: each bit that only one
+    set has stands for a piece at least that the other lacks, so this rules out no pair that does."""
+    lone = lambda x, y: sum((F.bit_count(F.col(f"{x}{i}").bitwiseAND(F.bitwise_not(f"{y}{i}"))) for i in range(words)), F.lit(0))
+    most = F.least(F.col("size_l") - lone("l", "r"), F.col("size_r") - lone("r", "l"))
+    return most * (1 + ratio) >= ratio * (F.col("size_l") + F.col("size_r")) - 1e-9
+
+
 def plain_pieces(fold, stem: str | None, options: str | None) -> list[str]:
     """Stem without number and option texts in the consistent form, lower case, letters and digits only."""
     texts = [without_number(fold(stem)), *(fold(v) for _, v in option_texts(options))]
@@ -91,7 +111,7 @@ def plain_pieces(fold, stem: str | None, options: str | None) -> list[str]:
 
 
 def sketches(df: DataFrame, model: ScriptModel, key: str = "id", stem: str = "stem", options: str = "options") -> DataFrame:
-    """``id``, ``content`` (hash of the set, null where it is empty), ``pieces`` (the set) and ``bands`` of each record."""
+    """``id``, ``content`` (hash of the set, null where it is empty), ``pieces`` (the set), ``bands`` and ``marks`` of each record."""
     counts = list(model.counts.items())
 
     def sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -104,10 +124,11 @@ def sketches(df: DataFrame, model: ScriptModel, key: str = "id", stem: str = "st
                 "content": [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets],
                 "pieces": sets,
                 "bands": [k if len(s) else k[:0] for s, k in zip(sets, keys)],
+                "marks": list(mark_words(sets)),
             })
 
     plain = df.select(F.col(key).cast("string").alias("id"), F.col(stem).alias("s"), F.col(options).alias("o"))
-    return plain.mapInPandas(sketch, "id string, content binary, pieces array<bigint>, bands array<bigint>")
+    return plain.mapInPandas(sketch, "id string, content binary, pieces array<bigint>, bands array<bigint>, marks array<bigint>")
 
 
 def shared_of(left: Column, right: Column) -> Column:
@@ -150,7 +171,7 @@ def banded_links(classes: DataFrame, judge: Column, ratio: float, small: int = S
     """``a``, ``b``, ``verdict``: accepted pairs (verdict above 0) that join every two classes which accepted pairs within
     buckets join.
 
-    classes: ``content`` (unique), ``bands``, ``pieces`` and what the judge needs; the judge is an expression over the columns
+    classes: ``content`` (unique), ``bands``, ``pieces``, ``marks`` (if there are any) and what the judge needs; the judge is an expression over the columns
     ``left`` and ``right`` (structs of all other columns), the same in both orders. It never accepts sets that share less than
     ``ratio`` of all their pieces. First each bucket's centre meets all its members: a star, n-1 pairs of n members. Where
     that leaves a bucket in several components, members of different components meet: in buckets of up to ``small`` members
@@ -159,10 +180,13 @@ def banded_links(classes: DataFrame, judge: Column, ratio: float, small: int = S
     rows = classes.select(F.explode("bands").alias("bucket"), "content", F.size("pieces").alias("size"))
     shared = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
     open_ = checkpointed(rows.join(shared, "bucket", "left_semi"))
-    told = classes.select("content", F.struct(*[c for c in classes.columns if c not in ("content", "bands")]).alias("told"))
+    told = classes.select("content", F.struct(*[c for c in classes.columns if c not in ("content", "bands", "marks")]).alias("told"))
     near = F.least("size", "with_size") >= ratio * F.greatest("size", "with_size")
 
     def judged(pairs: DataFrame) -> DataFrame:
+        if "marks" in classes.columns:
+            side = lambda key, x: classes.select(F.col("content").alias(key), F.size("pieces").alias(f"size_{x}"), *[F.col("marks")[i].alias(f"{x}{i}") for i in range(MARKS)])
+            pairs = pairs.join(side("a", "l"), "a").join(side("b", "r"), "b").where(may_reach(ratio)).select("a", "b")
         pairs = checkpointed(pairs)
         needed = told.join(pairs.select(F.explode(F.array("a", "b")).alias("content")).distinct(), "content", "left_semi")
         both = pairs.join(needed.select(F.col("content").alias("a"), F.col("told").alias("left")), "a").join(needed.select(F.col("content").alias("b"), F.col("told").alias("right")), "b")
@@ -194,7 +218,7 @@ def version_groups(df: DataFrame, threshold: float = 0.6) -> DataFrame:
     """
     sketched = checkpointed(sketches(df, script_model(df, "stem", "options")))
     known = sketched.where("content is not null")
-    held = known.groupBy("content").agg(F.first("pieces").alias("pieces"), F.first("bands").alias("bands"))
+    held = known.groupBy("content").agg(F.first("pieces").alias("pieces"), F.first("bands").alias("bands"), F.first("marks").alias("marks"))
     # from here on a class is a number; the checkpoint fixes it
     numbered = checkpointed(held.withColumnRenamed("content", "set").withColumn("content", F.monotonically_increasing_id()))
     links = banded_links(numbered.drop("set"), (shared_of(F.col("left.pieces"), F.col("right.pieces")) >= threshold).cast("int"), threshold)

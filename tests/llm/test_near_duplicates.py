@@ -176,3 +176,17 @@ def test_rare_keys_lose_no_link(spark):
 
     every = [(i, j) for i in range(len(sets)) for j in range(i) if len(set(sets[i]) & set(sets[j])) >= 0.6 * len(set(sets[i]) | set(sets[j]))]
     assert len(every) > 20 and groups(links) == groups(every)
+
+
+def test_marks_rule_out_no_pair(spark):
+    rng = random.Random(2)
+    rows = []
+    for _ in range(400):
+        whole = rng.sample(range(10**9), rng.randrange(1, 220))
+        a, b = ([x for x in whole if rng.random() < p] or whole for p in (rng.uniform(0.6, 1), rng.uniform(0.6, 1)))
+        l, r = N.mark_words([np.array(sorted(a)), np.array(sorted(b))]).tolist()
+        rows.append((len(a), len(b), len(set(a) & set(b)) / len(set(a) | set(b)), *l, *r))
+    names = ["size_l", "size_r", "share", *[f"l{i}" for i in range(N.MARKS)], *[f"r{i}" for i in range(N.MARKS)]]
+    df = spark.createDataFrame(rows, names)
+    told = df.select("share", N.may_reach(0.6).alias("may")).collect()
+    assert all(r.may for r in told if r.share >= 0.6) and sum(not r.may for r in told) > 20
