@@ -62,6 +62,7 @@ QUERIES: dict[str, Query] = {
     "p8_fill": p8_fill,
     "p9_found": _on("documents", truncation.truncated),
     "p9_shares": _on("documents", truncation.truncation_shares),
+    "p9_steps": _on("documents", truncation.deciding_steps),
 }
 
 _WIDE = "".join(chr(c) for c in range(0xFF01, 0xFF5F))
