@@ -73,18 +73,23 @@ def acronyms(c: Column) -> Column:
 
 
 def level_numbers(c: Column) -> Column:
-    """Chinese ordinal numbers before 级 as digits: 第三级 and 三级 become 3级, 十五级 15级."""
-    for tens in range(9, -1, -1):
-        for ones in range(9, -1, -1):
-            if tens or ones:
-                words = {(0, ones): NUMERALS[ones], (1, 0): "十", (1, ones): "十" + NUMERALS[ones]}.get((tens, ones)) or NUMERALS[tens] + "十" + (NUMERALS[ones] if ones else "")
-                c = F.regexp_replace(c, f"第?{words}级", f"{tens * 10 + ones}级")
-    return c
+    """Chinese ordinal numbers before 级 as digits: 第三级 and 三级 become 3级, 十五级 15级, 二十级 20级, 三十二级 32级. Other runs of
+    numerals lose their 第 only. Texts without 级 are left alone before any pattern runs."""
+    ones, run = "".join(NUMERALS[1:]), f"(?<![{''.join(NUMERALS)}])"
+    told = F.regexp_replace(c, f"第(?=[{''.join(NUMERALS)}]+级)", "")
+    # tens first: a mark keeps the place of the ten between two digits
+    told = F.regexp_replace(told, f"{run}十(?=[{ones}]级)", "1")
+    told = F.regexp_replace(told, f"{run}([{ones}])十(?=级)", "$10")
+    told = F.regexp_replace(told, f"{run}([{ones}])十(?=[{ones}]级)", "$1\u0001")
+    told = F.regexp_replace(told, f"{run}十(?=级)", "10")
+    for n, word in enumerate(NUMERALS[1:], 1):
+        told = F.regexp_replace(told, f"{run}{word}(?=(?:\u0001[{ones}0-9])?0?级)", str(n))
+    return F.when(F.contains(c, F.lit("级")), F.replace(told, F.lit("\u0001"), F.lit(""))).otherwise(c)
 
 
 def runs(c: Column) -> Column:
-    """Latin words and unbroken Chinese runs, lower case."""
-    return F.regexp_extract_all(F.lower(c), F.lit(RUN), F.lit(0))
+    """Latin words and unbroken Chinese runs, lower case, levels as digits."""
+    return F.regexp_extract_all(level_numbers(F.lower(c)), F.lit(RUN), F.lit(0))
 
 
 def bigrams(run: Column) -> Column:

@@ -2,25 +2,39 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mulberry.config import DEFAULTS
+from mulberry.session import checkpointed
+
+
+#: Most terms of queries that are broadcast; more are joined by a shuffle.
+BROADCAST_TERMS = 200_000
+
+
+def tokenised(corpus: DataFrame, tokens: Column, key: str = "id") -> DataFrame:
+    """key and ``tokens`` of every document, kept so that totals and postings don't cut the texts anew."""
+    return checkpointed(corpus.select(key, tokens.alias("tokens")))
 
 
 def postings(corpus: DataFrame, tokens: Column, key: str = "id", asked: DataFrame | None = None) -> DataFrame:
     """``term``, key, ``tf``, ``length``, ``df``, ``n_docs``, ``avg_length``: documents without tokens count with length 0.
 
-    The counts of (term, document) are shuffled once; frequencies, lengths and totals reuse that exchange. asked: queries
-    (with ``tokens``) the index is made for; only their terms are kept then, lengths and totals still count all.
+    asked: queries (with ``tokens``) the index is made for; then only their terms are kept, and what isn't asked for is
+    dropped before anything is shuffled. Lengths and totals count all tokens. Without asked the whole index.
     """
-    tf = corpus.select(F.col(key), F.explode(tokens).alias("term")).groupBy("term", key).agg(F.count(F.lit(1)).alias("tf"))
-    lengths = tf.groupBy(key).agg(F.sum("tf").alias("length"))
-    docs = corpus.agg(F.count(F.lit(1)).alias("n_docs"))
-    stats = tf.agg(F.sum("tf").alias("all")).crossJoin(docs).select("n_docs", (F.col("all") / F.col("n_docs")).alias("avg_length"))
-    kept = tf if asked is None else tf.join(asked.select(F.explode("tokens").alias("term")).distinct(), "term", "left_semi")
-    df = kept.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    return kept.join(df, "term").join(lengths, key).crossJoin(F.broadcast(stats))  # one row
+    told = corpus.select(key, tokens.alias("__t")).select(key, "__t", F.size("__t").alias("length"))
+    stats = told.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("length").alias("avg_length"))
+    terms = told.select(key, "length", F.explode("__t").alias("term"))
+    if asked is not None:
+        wanted = asked.select(F.explode("tokens").alias("term")).distinct()
+        terms = terms.join(F.broadcast(wanted) if wanted.count() <= BROADCAST_TERMS else wanted, "term", "left_semi")
+    tf = terms.groupBy("term", key, "length").agg(F.count(F.lit(1)).alias("tf"))
+    df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    return tf.join(df, "term").crossJoin(F.broadcast(stats))  # one row
 
 
 def bm25(queries: DataFrame, index: DataFrame, key: str = "id", k1: float = DEFAULTS.bm25_k1, b: float = DEFAULTS.bm25_b) -> DataFrame:
@@ -44,8 +58,25 @@ def ranked(scored: DataFrame, key: str = "id", by: str = "score", partition: str
 
 
 def out_of_vocabulary(queries: DataFrame, index: DataFrame, share: float = 0.99) -> DataFrame:
-    """``query_id``, ``degraded``: whether less than ``share`` of a query's distinct tokens of two or more characters occur."""
+    """``query_id``, ``degraded``: whether less than ``share`` of a query's distinct tokens of two or more characters occur. The
+    index may be one made for these queries."""
     terms = queries.select("query_id", F.explode(F.array_distinct("tokens")).alias("term")).where(F.length("term") >= 2)
     known = index.select("term").distinct().withColumn("known", F.lit(1))
     told = terms.join(known, "term", "left").groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.count("known").alias("k"))
     return queries.select("query_id").join(told, "query_id", "left").select("query_id", F.coalesce(F.col("k") / F.col("n") < share, F.lit(False)).alias("degraded"))
+
+
+def switched_search(queries: DataFrame, corpus: DataFrame, k: int, more: Callable[[Column], Column], key: str = "id") -> DataFrame:
+    """``query_id``, key, ``score``, ``word_score``, ``degraded``, ``rank``: BM25 over words; where a query has words outside the
+    vocabulary, over the words and what ``more`` makes of them, on both sides. word_score is that of the words alone.
+
+    queries: query_id, tokens (words); corpus: key, tokens (words).
+    """
+    words = checkpointed(postings(corpus, F.col("tokens"), key, queries))
+    flags = checkpointed(out_of_vocabulary(queries, words))
+    by_words = bm25(queries, words, key).withColumnRenamed("score", "word_score")
+    lost = queries.join(flags.where("degraded"), "query_id", "left_semi").select("query_id", more(F.col("tokens")).alias("tokens"))
+    mixed = bm25(lost, postings(corpus, more(F.col("tokens")), key, lost), key)
+    plain = by_words.join(flags.where("not degraded"), "query_id", "left_semi").select("query_id", key, F.col("word_score").alias("score"), "word_score")
+    other = mixed.join(by_words, ["query_id", key], "left").select("query_id", key, "score", F.coalesce("word_score", F.lit(0.0)).alias("word_score"))
+    return top_k(plain.unionByName(other).where("score > 0"), k, key).join(flags, "query_id")

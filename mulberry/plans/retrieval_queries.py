@@ -34,12 +34,13 @@ def _asked(spark, d, every: int = 100) -> DataFrame:
 
 
 def _corpus(spark, d) -> DataFrame:
-    return table(spark, d, "kb_chunks", wide=True).select("id", "domain", "source", "page", "kind", _title().alias("title"), F.coalesce("text", F.lit("")).alias("text"))
+    return table(spark, d, "kb_chunks", wide=True).select("id", "domain", "source", "page", "kind", _title().alias("title"), F.coalesce("text", F.lit("")).alias("text"), T.embedding_text(F.col("domain"), _title(), F.coalesce("text", F.lit(""))).alias("embedding_text"))
 
 
-def _bm25(spark, d, tokenizer=T.tokens, k: int = S.sparse_k, column: str = "text") -> DataFrame:
+def _bm25(spark, d, tokenizer=T.tokens, k: int = S.sparse_k, column: str = "embedding_text") -> DataFrame:
     asked = _asked(spark, d).select("query_id", tokenizer(F.col("query")).alias("tokens"))
-    scored = lexical.bm25(asked, lexical.postings(_corpus(spark, d).select("id", column), tokenizer(F.col(column)), asked=asked))
+    told = lexical.tokenised(_corpus(spark, d), tokenizer(F.col(column)))
+    scored = lexical.bm25(asked, lexical.postings(told, F.col("tokens"), asked=asked))
     return lexical.top_k(scored.where("score > 0"), k)
 
 
@@ -78,15 +79,9 @@ def q_bm25_topk(spark, d):
 
 
 def q_bm25_oov_switch(spark, d):
-    asked, corpus = _asked(spark, d), _corpus(spark, d)
-    words = asked.select("query_id", T.word_tokens(F.col("query")).alias("tokens"))
-    mixed = asked.select("query_id", T.with_bigrams(T.word_tokens(F.col("query"))).alias("tokens"))
-    index = lexical.postings(corpus, T.word_tokens(F.col("text")))
-    wide = lexical.postings(corpus, T.with_bigrams(T.word_tokens(F.col("text"))))
-    flags = lexical.out_of_vocabulary(words, index)
-    plain = lexical.bm25(words.join(flags.where("not degraded"), "query_id", "left_semi"), index)
-    more = lexical.bm25(mixed.join(flags.where("degraded"), "query_id", "left_semi"), wide)
-    return lexical.top_k(plain.unionByName(more).where("score > 0"), S.sparse_k).join(flags, "query_id").select("query_id", "id", "score", "rank", "degraded")
+    asked = _asked(spark, d).select("query_id", T.word_tokens(F.col("query")).alias("tokens"))
+    told = lexical.tokenised(_corpus(spark, d), T.word_tokens(F.col("embedding_text")))
+    return lexical.switched_search(asked, told, S.sparse_k, T.with_bigrams).select("query_id", "id", "score", "word_score", "rank", "degraded")
 
 
 def _two_lists(spark, d):
@@ -226,10 +221,10 @@ def q_training_matrix(spark, d):
 
 
 _ASKED = "SELECT id AS query_id, coalesce(question, '') AS query, nullif(trim(domain, ' '), '') AS topic FROM question_signals WHERE id % 100 = 0"
-_CORPUS = "SELECT id, domain, source, page, regexp_extract(coalesce(text, ''), '^([^\\n。，]{1,30})\\n', 1) AS title, coalesce(text, '') AS text FROM kb_chunks"
+_CORPUS = "SELECT *, concat_ws(chr(10), '知识域：' || coalesce(domain, ''), CASE WHEN title <> '' THEN '知识点：' || title END, text) AS embedding_text FROM (SELECT id, domain, source, page, regexp_extract(coalesce(text, ''), '^([^\\n。，]{1,30})\\n', 1) AS title, coalesce(text, '') AS text FROM kb_chunks)"
 
 
-def _bm25_sql(tokens, column: str = "text", k: int = 20, name: str = "", asked: str = "asked") -> str:
+def _bm25_sql(tokens, column: str = "embedding_text", k: int = 20, name: str = "", asked: str = "asked") -> str:
     n = name
     return (
         f"d{n} AS (SELECT id, {tokens(column)} AS t FROM corpus), s{n} AS (SELECT count(*) AS n, avg(len(t)) AS a FROM d{n}), "
@@ -299,8 +294,8 @@ _RE = _CAND + f", e AS (SELECT query_id, id, rank, round({_over('text')}, 6) AS
 
 SQL = {
     "q_bm25_topk": _ONE + " SELECT query_id, id, score, rank FROM r",
-    "q_bm25_oov_switch": _BASE + f"w AS (SELECT query_id, unnest(list_distinct({WORDS('query')})) AS term FROM asked), v AS (SELECT DISTINCT unnest({WORDS('text')}) AS term FROM corpus), g AS (SELECT a.query_id, coalesce(f.share < 0.99, false) AS degraded FROM asked a LEFT JOIN (SELECT query_id, count(v.term) / count(*) AS share FROM w LEFT JOIN v USING (term) WHERE length(term) >= 2 GROUP BY query_id) f USING (query_id)), asked1 AS (SELECT * FROM asked JOIN g USING (query_id) WHERE NOT degraded), asked2 AS (SELECT * FROM asked JOIN g USING (query_id) WHERE degraded), "
-    + _bm25_sql(WORDS, name="1", asked="asked1") + ", " + _bm25_sql(_mixed, name="3", asked="asked2") + " SELECT query_id, id, score, rank, false AS degraded FROM r1 UNION ALL SELECT query_id, id, score, rank, true FROM r3",
+    "q_bm25_oov_switch": _BASE + f"w AS (SELECT query_id, unnest(list_distinct({WORDS('query')})) AS term FROM asked), v AS (SELECT DISTINCT unnest({WORDS('embedding_text')}) AS term FROM corpus), g AS (SELECT a.query_id, coalesce(f.share < 0.99, false) AS degraded FROM asked a LEFT JOIN (SELECT query_id, count(v.term) / count(*) AS share FROM w LEFT JOIN v USING (term) WHERE length(term) >= 2 GROUP BY query_id) f USING (query_id)), asked1 AS (SELECT * FROM asked JOIN g USING (query_id) WHERE NOT degraded), asked2 AS (SELECT * FROM asked JOIN g USING (query_id) WHERE degraded), "
+    + _bm25_sql(WORDS, name="1") + ", " + _bm25_sql(WORDS, name="4", asked="asked1") + ", " + _bm25_sql(_mixed, name="3", asked="asked2") + " SELECT query_id, id, score, score AS word_score, rank, false AS degraded FROM r4 UNION ALL SELECT r3.query_id, r3.id, r3.score, coalesce(sc1.score, 0) AS word_score, rank, true FROM r3 LEFT JOIN sc1 USING (query_id, id)",
     "q_rrf_fuse": _TWO + f", f AS (SELECT query_id, id, round(sum(1 / (20 + rank)), 9) AS score FROM (SELECT query_id, id, rank FROM r UNION ALL SELECT query_id, id, rank FROM r2) GROUP BY ALL) SELECT * FROM (SELECT *, {_RANK.format('score')} AS rank FROM f) WHERE rank <= 10",
     "q_multi_query_merge": _TWO + f", f AS (SELECT query_id, id, round(sum(w / (20 + rank)), 9) AS score FROM (SELECT query_id, id, rank, 2.0 AS w FROM r UNION ALL SELECT query_id, id, rank, 1.0 FROM r2) GROUP BY ALL) SELECT * FROM (SELECT *, {_RANK.format('score')} AS rank FROM f) WHERE rank <= 10",
     "q_topic_postfilter_topup": _BASE + _bm25_sql(TOKENS, k=40) + ", x AS (SELECT r.*, domain, topic FROM r JOIN corpus USING (id) JOIN asked USING (query_id)), k AS (SELECT * FROM x WHERE rank <= 10 AND (topic IS NULL OR domain = topic)), m AS (SELECT x.*, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS n, (SELECT count(*) FROM k WHERE k.query_id = x.query_id) AS have FROM x WHERE domain = topic AND rank > 10), "

@@ -22,8 +22,28 @@ def words_hit(c: str, words: Sequence[str]) -> str:
     return "(" + " + ".join(f"contains({c}, '{w.lower()}')::INT" for w in words) + ")"
 
 
+_NUM = "一二三四五六七八九"
+
+
+def LEVEL(piece: str) -> str:
+    """A run of Chinese numerals before 级 with digits for the numerals, by its places."""
+    n = f"regexp_replace({piece}, '^第|级$', '', 'g')"
+    digit = lambda x: f"instr('{_NUM}', {x})::VARCHAR"
+    left, right = f"string_split({n}, '十')[1]", f"string_split({n}, '十')[2]"
+    return (
+        f"(CASE WHEN {n} = '十' THEN '10' WHEN length({n}) = 1 THEN {digit(n)} "
+        f"WHEN regexp_full_match({n}, '[{_NUM}]?十[{_NUM}]?') THEN (CASE WHEN {left} = '' THEN '1' ELSE {digit(left)} END) || (CASE WHEN {right} = '' THEN '0' ELSE {digit(right)} END) ELSE {n} END || '级')"
+    )
+
+
+def LEVELS(c: str) -> str:
+    """A text, cut into levels and single characters, with its levels as digits."""
+    cut = f"regexp_extract_all({c}, '第?[{_NUM}十]+级|[^级第{_NUM}十]+|.')"
+    return f"CASE WHEN contains({c}, '级') THEN array_to_string(list_transform({cut}, lambda p: CASE WHEN regexp_full_match(p, '第?[{_NUM}十]+级') THEN {LEVEL('p')} ELSE p END), '') ELSE {c} END"
+
+
 def RUNS(c: str) -> str:
-    return f"regexp_extract_all(lower(coalesce({c}, '')), '{T.RUN}')"
+    return f"regexp_extract_all({LEVELS(f"lower(coalesce({c}, ''))")}, '{T.RUN}')"
 
 
 def TOKENS(c: str) -> str:

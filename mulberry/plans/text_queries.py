@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from mulberry.functions import text as T
 from mulberry.operators import catalog, chunking, dense, questions
-from mulberry.plans.sql import CHOICE, SPACES, TOKENS, any_of, strip, words_hit
+from mulberry.plans.sql import CHOICE, LEVELS, SPACES, TOKENS, any_of, strip, words_hit
 from mulberry.sources.tables import table
 
 
@@ -186,11 +186,14 @@ _INTENT = (
     f"WHEN {any_of('question', T.DEFINITION_CUES)} THEN 'definition' ELSE 'other' END"
 )
 
+LEVEL_ANY = LEVELS("level")
+
 SQL = {
     "q_clean_text": f"SELECT id, md5(c) AS cleaned, length(c) AS n FROM (SELECT id, {_CLEAN} AS c FROM kb_chunks)",
     "q_version": f"SELECT source, regexp_extract(source, '{T.VERSION}') AS version, {_FILE_TOPIC} AS topic, count(*) AS chunks FROM kb_chunks GROUP BY ALL",
     "q_normalise": f"SELECT id, {_MATCH} AS match_form, regexp_replace(lower(coalesce(stem, '')), '[^一-鿿A-Za-z0-9]', '', 'g') AS compact, md5(regexp_replace(lower(coalesce(stem, '')), '[^\\p{{L}}\\p{{N}}_]+', '', 'g')) AS content FROM questions",
     "q_acronyms": f"SELECT acronym, count(*) AS n FROM (SELECT unnest(list_distinct(regexp_extract_all(stem, '{T.ACRONYM}'))) AS acronym FROM questions) GROUP BY ALL",
+    "q_levels": f"SELECT level, {LEVEL_ANY} AS normal, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, '[第一二三四五六七八九十0-9]{{1,5}}级')) AS level FROM kb_chunks) GROUP BY ALL",
     "q_query_rewrite": f"SELECT id, array_to_string([q] || list_filter(a, lambda t: NOT list_contains(h, lower(t))), ' ') AS query FROM (SELECT id, q, h, {_ADDED} AS a FROM (SELECT id, {strip('question')} AS q, upper(question) AS u, regexp_extract_all(lower({strip('question')}), '[\\p{{L}}\\p{{N}}_]+') AS h FROM question_signals))",
     "q_query_intent": f"SELECT id, k AS kind, k IN ('process', 'fact') AS learned FROM (SELECT id, {_INTENT} AS k FROM question_signals)",
     "q_topic_classify": f"WITH t AS (SELECT id, lower(concat_ws(' ', stem, array_to_string(list_transform(json_keys(options), lambda k: json_extract_string(options, '$.' || k)), ' '), analysis)) AS x FROM questions), h AS (SELECT id, unnest([{_HITS}]) AS s FROM t) SELECT id, CASE WHEN max(s)[1] > 0 THEN max(s)[3] END AS topic FROM h GROUP BY id",
