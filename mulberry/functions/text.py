@@ -24,6 +24,7 @@ REWRITE_RULES = (
     ((), ("BIA", "业务影响分析"), ("灾难恢复需求分析", "恢复目标", "关键业务功能")),
     (("EAL",), ("划分", "评估保证级"), ("EAL1", "EAL2", "EAL3", "EAL4", "EAL5", "EAL6", "EAL7", "保护轮廓", "安全目标")),
 )
+PARTICLES = "的了是在和与及对为把"
 NUMERALS = ("十", "一", "二", "三", "四", "五", "六", "七", "八", "九")
 
 ACRONYM = "[A-Za-z][A-Za-z0-9+-]+"
@@ -72,6 +73,20 @@ def acronyms(c: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(c, F.lit(ACRONYM), F.lit(0)))
 
 
+def written_out(c: Column) -> Column:
+    """The beginnings (five characters) of names of seven or more that stand beside an acronym of the text.
+
+    A name is a Chinese run in the ten characters before and the ten behind an acronym, taken together; particles in front
+    don't count. Names are looked for in titles, where only their beginning has to be found.
+    """
+    # what stands before an acronym stands behind it in the reversed text
+    behind = F.regexp_extract_all(c, F.lit(ACRONYM + "(?=(.{0,10}))"), F.lit(1))
+    before = F.reverse(F.regexp_extract_all(F.reverse(c), F.lit("[A-Za-z0-9+-]+[A-Za-z](?=(.{0,10}))"), F.lit(1)))
+    beside = F.zip_with(before, behind, lambda a, b: F.concat(F.coalesce(F.reverse(a), F.lit("")), F.coalesce(b, F.lit(""))))
+    names = F.transform(F.flatten(F.transform(beside, lambda w: F.regexp_extract_all(w, F.lit("[一-鿿]{4,}"), F.lit(0)))), lambda n: F.regexp_replace(n, f"^[{PARTICLES}]+", ""))
+    return F.array_distinct(F.transform(F.filter(names, lambda n: F.length(n) >= 7), lambda n: F.left(n, F.lit(5))))
+
+
 def level_numbers(c: Column) -> Column:
     """Chinese ordinal numbers before 级 as digits: 第三级 and 三级 become 3级, 十五级 15级, 二十级 20级, 三十二级 32级. Other runs of
     numerals lose their 第 only. Texts without 级 are left alone before any pattern runs."""

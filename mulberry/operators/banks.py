@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -66,18 +64,6 @@ def supported(cited: Column, pages: Column) -> Column:
     return F.filter(cited, lambda c: F.exists(pages, lambda p: alike(c, p)))
 
 
-def acronym_expansions(query: str) -> list[str]:
-    """Names written out beside an acronym of a query: beginnings of five characters or more of the Chinese runs within ten
-    characters of it, particles in front aside."""
-    found: dict[str, None] = {}
-    for m in re.finditer(T.ACRONYM, query):
-        near = query[max(0, m.start() - 10) : m.start()] + query[m.end() : m.end() + 10]
-        for run in re.findall("[一-鿿]{4,}", near):
-            name = run.lstrip("的了是在和与及对为把")
-            found.update(dict.fromkeys(name[:n] for n in range(5, len(name) - 1)))
-    return list(found)
-
-
 def next_question(questions: DataFrame, attempts: DataFrame, cards: DataFrame, weights: DataFrame, now: float, seed: int, due_limit: int = 20) -> DataFrame:
     """One row: a due card whose question is available (by chance among the first ``due_limit``), else a question of a topic
     drawn by weight, else nothing. weights: domain, weight."""

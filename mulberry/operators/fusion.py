@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mulberry.config import DEFAULTS
-from mulberry.operators.lexical import ranked as ranked_rows
 
 
 def reciprocal_rank(lists: list[tuple[DataFrame, float]], k: int = DEFAULTS.rrf_k) -> DataFrame:
@@ -34,14 +33,15 @@ def best_child(ranked: DataFrame, parent: str = "parent_id") -> DataFrame:
 
 def topic_filter(ranked: DataFrame, sparse: DataFrame, wanted: int = DEFAULTS.k) -> DataFrame:
     """Rows of the query's topic after recall; where fewer than ``wanted`` remain, further rows of the topic from the
-    sparse list (with their own scores) fill up. Both lists: query_id, topic, id, domain, score, rank."""
+    sparse list fill up: behind the others, but with their own scores. Both lists: query_id, topic, id, domain, score, rank."""
     kept = ranked.where((F.col("domain") == F.col("topic")) | F.col("topic").isNull())
     count = kept.groupBy("query_id").agg(F.count(F.lit(1)).alias("have"))
     more = sparse.where(F.col("domain") == F.col("topic")).join(kept.select("query_id", "id"), ["query_id", "id"], "left_anti").join(count, "query_id", "left")
     w = Window.partitionBy("query_id").orderBy("rank")
     filled = more.withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= wanted - F.coalesce("have", F.lit(0)))
-    cols = ["query_id", "id", "domain", "score"]
-    return ranked_rows(kept.select(*cols, F.lit(0).alias("topped")).unionByName(filled.select(*cols, F.lit(1).alias("topped"))))
+    cols = ["query_id", "id", "domain", "score", F.col("rank").alias("__r")]
+    both = kept.select(*cols, F.lit(0).alias("topped")).unionByName(filled.select(*cols, F.lit(1).alias("topped")))
+    return both.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("topped", "__r", "id"))).drop("__r")
 
 
 def min_max(c: Column, by: str = "query_id") -> Column:
@@ -61,6 +61,22 @@ def alpha_fusion(scored: DataFrame, alpha: float = DEFAULTS.rerank_alpha, k: int
     return fused.withColumn("new_rank", F.row_number().over(w)).where(F.col("new_rank") <= k)
 
 
+def alpha_or_order(scored: DataFrame, alpha: float = DEFAULTS.rerank_alpha) -> DataFrame:
+    """alpha_fusion as ``new_rank`` of all rows; a query with a single row, or with a row without score, keeps its order."""
+    w = Window.partitionBy("query_id")
+    n, known = F.count(F.lit(1)).over(w), F.count("rerank").over(w)
+    linear = (n - F.col("rank") + 1) / F.greatest(n - 1, F.lit(1))
+    fused = F.when((n > 1) & (known == n), F.round(alpha * min_max(F.col("rerank")) + (1 - alpha) * linear, 9)).otherwise(0.0)
+    return scored.withColumn("fused", fused).withColumn("new_rank", F.row_number().over(w.orderBy(F.col("fused").desc(), "rank")))
+
+
+def scattered(candidates: DataFrame, scores: DataFrame) -> DataFrame:
+    """Scores that came back by index: ``rerank`` of each candidate (query_id, index), 0 where there is none. scores: query_id,
+    index, rerank; an index that no candidate has is ignored, of several scores of one the last by ``rerank`` counts."""
+    one = scores.groupBy("query_id", "index").agg(F.max("rerank").alias("rerank"))
+    return candidates.join(one, ["query_id", "index"], "left").withColumn("rerank", F.coalesce("rerank", F.lit(0.0)))
+
+
 def margin_fusion(scored: DataFrame, delta: float) -> DataFrame:
     """Order by the rerank score in steps of ``delta``; within a step the old order holds."""
     w = Window.partitionBy("query_id").orderBy(F.bround(F.col("rerank") / delta).desc(), "rank")

@@ -20,13 +20,15 @@ FEATURES = (
 
 @dataclass(frozen=True)
 class CoverageRule:
-    """A bonus for a text that holds ``hits`` of the terms, where the query holds all of ``needs`` and one of ``one_of``."""
+    """A bonus for a text that holds ``hits`` of the terms, where the query holds all of ``needs`` and one of ``one_of``.
+    What is in ``titled`` may stand in the title, too."""
 
     needs: tuple[str, ...]
     one_of: tuple[str, ...]
     terms: tuple[str, ...]
     hits: int
     bonus: float
+    titled: tuple[str, ...] = ()
 
 
 # What a good answer page covers, by what the query asks.
@@ -38,7 +40,7 @@ RULES = (
     CoverageRule(("计算机犯罪", "狭义", "广义"), (), ("狭义", "广义"), 2, 0.012),
     CoverageRule(("入侵检测系统",), ("组成", "构成"), ("事件产生器", "事件分析", "事件响应", "数据库"), 3, 0.024),
     CoverageRule(("受攻击面", "方法"), (), ("分析产品的功能", "哪些路径", "访问的特权", "增强防护措施"), 3, 0.012),
-    CoverageRule(("变更管理",), ("步骤", "过程"), ("变更管理的过程", "变更批准", "变更记录"), 3, 0.012),
+    CoverageRule(("变更管理",), ("步骤", "过程"), ("变更批准", "变更记录"), 3, 0.012, ("变更管理的过程",)),
     CoverageRule(("风险评估",), ("四个阶段", "哪些阶段"), ("风险评估过程", "准备", "要素识别", "风险分析", "结果判定"), 4, 0.018),
     CoverageRule(("定级", "等级"), ("流程", "如何确定"), ("定级对象", "安全保护等级"), 2, 0.012),
     CoverageRule(("工业控制系统", "安全架构"), (), ("管理控制", "操作控制", "技术控制"), 3, 0.012),
@@ -51,13 +53,13 @@ def _hits(text: Column, terms: Sequence[str]) -> Column:
 
 
 def coverage_bonus(query: Column, title: Column, text: Column, rules: Sequence[CoverageRule] = RULES) -> Column:
-    q, whole = F.upper(query), F.upper(F.concat_ws("\n", title, text))
+    q, body, whole = F.upper(query), F.upper(text), F.upper(F.concat_ws("\n", title, text))
     total = F.lit(0.0)
     for r in rules:
         asked = _hits(q, r.needs) == len(r.needs)
         if r.one_of:
             asked = asked & T.any_of(q, r.one_of)
-        total = total + F.when(asked & (_hits(whole, r.terms) >= r.hits), r.bonus).otherwise(0.0)
+        total = total + F.when(asked & (_hits(body, r.terms) + _hits(whole, r.titled) >= r.hits), r.bonus).otherwise(0.0)
     return total
 
 
@@ -108,6 +110,9 @@ def feature_score(query: Column, terms: Column) -> Column:
     title, text, own = F.coalesce("title", F.lit("")), F.coalesce("text", F.lit("")), T.acronyms(query)
     named = F.size(F.filter(own, lambda a: F.contains(F.upper(text), F.upper(a))))
     entities = F.when((F.size(own) >= 2) & (named >= 2), F.least(0.004 * named, F.lit(0.012))).otherwise(0.0)
+    # a title that writes an acronym of the query out is as good as one that holds it
+    written = F.exists(T.written_out(query), lambda b: F.contains(title, b))
+    named_title = F.when((f["acronym_hit"] > 0) | written, 0.004).otherwise(0.0)
     steps = F.size(F.regexp_extract_all(text, F.lit(r"P\d+-|D\d+-|C\d+-|第[一二三四五六七八九十]+阶段|（\d+）|[1-9][、.．]"), F.lit(0)))
     asks_steps = T.any_of(query, (*T.PROCESS_CUES, "哪些方法", "哪些工作", "哪些要点"))
     source = F.when(f["source_first"] > 0, 0.0015).when(f["source_v42"] > 0, 0.001).otherwise(0.0)
@@ -116,7 +121,7 @@ def feature_score(query: Column, terms: Column) -> Column:
         f["base_score"] + 0.003 * f["title_overlap"] + 0.002 * f["text_overlap"] + 0.003 * f["phrase_match"]
         + 0.003 * (f["composition_title"] + f["composition_text"]) + 0.002 * (f["process_title"] + f["process_text"])
         + 0.002 * f["table_numeric"] + F.when(asks_steps & (steps >= 3), 0.004).otherwise(0.0) + coverage_bonus(query, title, text) + entities
-        + F.when(F.coalesce("context", F.lit(False)), 0.0015).otherwise(0.0) + 0.005 * f["acronym_hit"] + source
+        + F.when(F.coalesce("context", F.lit(False)), 0.0015).otherwise(0.0) + 0.001 * f["acronym_hit"] + named_title + source
         - F.when(f["overview"] == 1.0, 0.006).when(f["overview"] == 0.5, 0.003).otherwise(0.0) - thin
     )
 
@@ -127,6 +132,11 @@ def reranked(candidates: DataFrame) -> DataFrame:
     return candidates.withColumn("feature_score", F.round(feature_score(F.col("query"), F.col("terms")), 6)).withColumn("new_rank", F.row_number().over(w))
 
 
+def renumbered(ranked: DataFrame, *order: Column) -> DataFrame:
+    """The rows with ``rank`` anew, within each query by ``order``."""
+    return ranked.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order)))
+
+
 def logistic_score(values: Sequence[Column], model: dict) -> Column:
     """1/(1+e^-z) of standardised values; z within ±50, a scale of 0 counts as 1."""
     z = F.lit(float(model["intercept"]))

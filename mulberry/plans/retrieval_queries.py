@@ -3,7 +3,7 @@ vector queries all vectors whose id is; they run against all rows."""
 
 from __future__ import annotations
 
-import zlib
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from mulberry.config import DEFAULTS as S
 from mulberry.functions import text as T
 from mulberry.operators import dense, evaluation, fusion, lexical, metrics, rerank, retrieve
-from mulberry.plans.sql import SPACES, TOKENS, WORDS, any_of
+from mulberry.plans.sql import INTENT, REWRITTEN, SPACES, TOKENS, WORDS, any_of
 from mulberry.sources.tables import table
 
 MODEL = {
@@ -49,21 +49,32 @@ def embedded(df: DataFrame, key: str, text: str, bins: int = 256) -> DataFrame:
 
     def embed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = np.zeros((len(batch), bins), np.float32)
+            out = np.zeros((len(batch), bins))
             for i, tokens in enumerate(batch["t"]):
                 for t in tokens:
-                    out[i, zlib.crc32(t.encode()) % bins] += 1
-            yield pd.DataFrame({"id": batch["id"], "vector": list(dense.unit(out).astype(np.float32))})
+                    out[i, hashlib.md5(t.encode()).digest()[0] % bins] += 1
+            yield pd.DataFrame({"id": batch["id"], "vector": list(dense.unit(out))})
 
     told = df.select(F.col(key).alias("id"), T.tokens(F.coalesce(F.col(text), F.lit(""))).alias("t"))
-    return told.mapInPandas(embed, f"id {df.schema[key].dataType.simpleString()}, vector array<float>")
+    return told.mapInPandas(embed, f"id {df.schema[key].dataType.simpleString()}, vector array<double>")
+
+
+def _near(corpus: DataFrame) -> retrieve.Recall:
+    vectors = embedded(corpus, "id", "embedding_text")
+    return lambda asked: dense.cosine_top_k(embedded(asked, "query_id", "query").withColumnRenamed("id", "query_id"), vectors, S.dense_k)
+
+
+def _full_questions(spark, d, every: int = 100) -> DataFrame:
+    """The questions asked with a variant (letters and digits only) and as context the first page of each source of the topic."""
+    pages = table(spark, d, "kb_chunks").where("domain is not null").groupBy("domain", "source").agg(F.min("page").alias("page"))
+    context = pages.groupBy(F.col("domain").alias("topic")).agg(F.array_sort(F.collect_list(F.struct("source", "page"))).alias("context"))
+    return _asked(spark, d, every).withColumn("variants", F.array(T.compact(F.col("query")))).join(context, "topic", "left")
 
 
 def hybrid_search(spark, d, every: int = 100) -> DataFrame:
     """Search with the questions whose id is divisible by ``every``."""
-    asked, corpus = _asked(spark, d, every), _corpus(spark, d)
-    near = dense.cosine_top_k(embedded(asked, "query_id", "query").withColumnRenamed("id", "query_id"), embedded(corpus, "id", "text"), S.dense_k)
-    return retrieve.search(asked, corpus, near)
+    corpus = _corpus(spark, d)
+    return retrieve.search(_full_questions(spark, d, every), corpus.withColumn("parent_id", F.concat_ws("|", "source", "page")), _near(corpus), model=MODEL)
 
 
 def q_hybrid_search(spark, d):
@@ -71,6 +82,7 @@ def q_hybrid_search(spark, d):
 
 
 def q_degraded_search(spark, d):
+    """Without dense recall, variants, context and learned score."""
     return retrieve.search(_asked(spark, d), _corpus(spark, d))
 
 
@@ -280,16 +292,69 @@ _FEATURES = {
 }
 _F = _CAND + ", f AS (SELECT *, " + ", ".join(f"({e}) AS {n}" for n, e in _FEATURES.items()) + " FROM c)"
 _RULES = " + ".join(
-    "CASE WHEN " + " AND ".join([f"contains(upper(query), '{w}')" for w in r.needs] + ([any_of("upper(query)", r.one_of)] if r.one_of else [])) + f" AND {_HIT('upper(title || chr(10) || text)', r.terms)} >= {r.hits} THEN {r.bonus} ELSE 0.0 END" for r in rerank.RULES
+    "CASE WHEN " + " AND ".join([f"contains(upper(query), '{w}')" for w in r.needs] + ([any_of("upper(query)", r.one_of)] if r.one_of else [])) + f" AND {_HIT('upper(text)', r.terms)} + {_HIT('upper(title || chr(10) || text)', r.titled) if r.titled else 0} >= {r.hits} THEN {r.bonus} ELSE 0.0 END" for r in rerank.RULES
 )
 _NAMED = f"len(list_filter({_ACR('query')}, lambda a: contains(upper(text), upper(a))))"
+_AT = "list_filter(range(1, length(query) + 1), lambda i: regexp_matches(substr(query, i), '^[A-Za-z][A-Za-z0-9+-]+') AND (i = 1 OR NOT regexp_matches(substr(query, 1, i - 1), '[A-Za-z][A-Za-z0-9+-]*$')))"
+_BESIDE = f"list_transform({_AT}, lambda i: right(substr(query, 1, i - 1), 10) || left(substr(query, i + length(regexp_extract(substr(query, i), '^[A-Za-z][A-Za-z0-9+-]+'))), 10))"
+_NAMES = f"list_transform(flatten(list_transform({_BESIDE}, lambda w: regexp_extract_all(w, '[一-鿿]{{4,}}'))), lambda n: regexp_replace(n, '^[{T.PARTICLES}]+', ''))"
+_WRITTEN = f"len(list_filter({_NAMES}, lambda n: length(n) >= 7 AND contains(title, left(n, 5)))) > 0"
 _SCORE = (
     "base_score + 0.003 * title_overlap + 0.002 * text_overlap + 0.003 * phrase_match + 0.003 * (composition_title + composition_text) + 0.002 * (process_title + process_text) + 0.002 * table_numeric"
     f" + CASE WHEN {any_of('query', (*T.PROCESS_CUES, '哪些方法', '哪些工作', '哪些要点'))} AND len(regexp_extract_all(text, 'P\\d+-|D\\d+-|C\\d+-|第[一二三四五六七八九十]+阶段|（\\d+）|[1-9][、.．]')) >= 3 THEN 0.004 ELSE 0.0 END + {_RULES}"
-    f" + CASE WHEN len({_ACR('query')}) >= 2 AND {_NAMED} >= 2 THEN least(0.004 * {_NAMED}, 0.012) ELSE 0.0 END + 0.005 * acronym_hit + CASE WHEN source_first > 0 THEN 0.0015 WHEN source_v42 > 0 THEN 0.001 ELSE 0.0 END"
+    f" + CASE WHEN len({_ACR('query')}) >= 2 AND {_NAMED} >= 2 THEN least(0.004 * {_NAMED}, 0.012) ELSE 0.0 END + 0.001 * acronym_hit + CASE WHEN acronym_hit > 0 OR {_WRITTEN} THEN 0.004 ELSE 0.0 END + CASE WHEN source_first > 0 THEN 0.0015 WHEN source_v42 > 0 THEN 0.001 ELSE 0.0 END"
     f" - CASE overview WHEN 1.0 THEN 0.006 WHEN 0.5 THEN 0.003 ELSE 0.0 END - CASE WHEN NOT {any_of('query', T.DETAIL_CUES)} THEN 0.0 WHEN length(text) < 80 THEN 0.004 WHEN length(text) < 120 THEN 0.002 ELSE 0.0 END"
 )
+# of a fold group the first page holds the place; below 80 characters it goes to the first other page of 80 or more, else to the longest
+_FOLD = (
+    "v AS (SELECT *, CASE WHEN regexp_matches(coalesce(source, ''), '[vV]4\\.\\d+') AND length({t}) >= 4 THEN coalesce(domain, '') || chr(31) || {t} END AS g FROM {rows}), "
+    "o AS (SELECT *, length(text) AS z, first_value(source) OVER w AS s0, first_value(id) OVER w AS i0, first_value(length(text)) OVER w AS z0, first_value(rank) OVER w AS r0 FROM v WHERE g IS NOT NULL WINDOW w AS (PARTITION BY query_id, g ORDER BY rank)), "
+    "h AS (SELECT query_id, g, any_value(r0) AS slot, CASE WHEN any_value(z0) >= 80 THEN any_value(i0) ELSE coalesce(arg_min(id, rank) FILTER (source IS DISTINCT FROM s0 AND z >= 80), arg_max(id, (z, -rank)) FILTER (source IS DISTINCT FROM s0 OR id = i0)) END AS id FROM o GROUP BY query_id, g), "
+    "fo AS (SELECT query_id, id, slot FROM h UNION ALL SELECT query_id, id, rank FROM v WHERE g IS NULL UNION ALL SELECT query_id, id, rank FROM o WHERE source IS NOT DISTINCT FROM s0 AND id <> i0)"
+)
 _Z = " + ".join([str(MODEL["intercept"]), *[f"({n} - {m}) / {s or 1.0} * {w}" for n, m, s, w in zip(rerank.FEATURES, MODEL["mean"], MODEL["scale"], MODEL["coef"])]])
+
+
+def _search_sql(dense: bool) -> str:
+    """The whole search: recall of each variant, fill up, merge, collapse, features, fold, learned order, blend, refusal."""
+    rewritten = REWRITTEN.format(q="query")
+    variants = f" UNION ALL SELECT query_id, 1, {_comp('own')}, own, topic FROM b0 WHERE trim({_comp('own')}) <> '' AND {_comp('own')} <> query" if dense else ""
+    bins = lambda frm, col, key: f"SELECT {key}, b, count(*)::DOUBLE AS c FROM (SELECT {key}, ('0x' || substr(md5(t), 1, 2))::INT AS b FROM (SELECT {key}, unnest({TOKENS(col)}) AS t FROM {frm})) GROUP BY ALL"
+    near = (
+        f"bq AS ({bins('asks', 'query', 'query_id')}), bd AS ({bins('corpus', 'embedding_text', 'id')}), nq AS (SELECT query_id, sqrt(sum(c * c)) AS n FROM bq GROUP BY 1), nd AS (SELECT id, sqrt(sum(c * c)) AS n FROM bd GROUP BY 1), "
+        "dp AS (SELECT query_id, id, sum(bq.c * bd.c) AS p FROM bq JOIN bd USING (b) GROUP BY ALL), dl AS (SELECT * FROM (SELECT a.query_id, k.id, round(coalesce(p / (nq.n * nd.n), 0), 6) AS score, row_number() OVER (PARTITION BY a.query_id ORDER BY round(coalesce(p / (nq.n * nd.n), 0), 6) DESC, k.id) AS rank "
+        "FROM asks a CROSS JOIN corpus k LEFT JOIN dp ON dp.query_id = a.query_id AND dp.id = k.id LEFT JOIN nq ON nq.query_id = a.query_id LEFT JOIN nd ON nd.id = k.id) WHERE rank <= 10), "
+        if dense else "dl AS (SELECT query_id, id, score, rank FROM r WHERE false), "
+    )
+    context = "cp AS (SELECT domain AS topic, source, min(page) AS page FROM kb_chunks WHERE domain IS NOT NULL GROUP BY ALL)" if dense else "cp AS (SELECT domain AS topic, source, page FROM kb_chunks WHERE false)"
+    learned = f"CASE WHEN {INTENT.replace('question', 'query')} = 'process' THEN round(1 / (1 + exp(-greatest(least({_Z}, 50), -50))), 6) ELSE 0.0 END" if dense else "0.0"
+    parent = "source || '|' || page" if dense else "id"
+    return (
+        f"WITH a0 AS ({_ASKED}), b0 AS (SELECT query_id, query AS own, topic, {rewritten} AS query FROM a0), a1 AS (SELECT query_id, 0 AS variant, query, own, topic FROM b0{variants}), "
+        f"asks AS (SELECT query_id || '#' || variant AS query_id, query_id AS q, variant, query, topic FROM a1), corpus AS ({_CORPUS}), " + _bm25_sql(TOKENS, k=60, asked="asks") + f", {near}{context}, "
+        f"u AS (SELECT query_id, id, rank FROM r WHERE rank <= {20 if dense else 60} UNION ALL SELECT query_id, id, rank FROM dl), f1 AS (SELECT query_id, id, round(sum(1 / (20 + rank)), 9) AS score FROM u GROUP BY ALL), "
+        f"f2 AS (SELECT *, {_RANK.format('score')} AS rank FROM f1), f3 AS (SELECT f2.*, q, variant, topic FROM f2 JOIN asks USING (query_id) JOIN corpus k USING (id) WHERE topic IS NULL OR k.domain = topic), "
+        "x1 AS (SELECT r.query_id, r.id, r.score, r.rank, q, variant, topic, row_number() OVER (PARTITION BY r.query_id ORDER BY r.rank) AS n FROM r JOIN asks USING (query_id) JOIN corpus k USING (id) WHERE r.rank <= 40 AND k.domain = topic AND NOT EXISTS (SELECT 1 FROM f3 WHERE f3.query_id = r.query_id AND f3.id = r.id)), "
+        "f4 AS (SELECT query_id, q, variant, id, score, rank, 0 AS t FROM f3 UNION ALL SELECT query_id, q, variant, id, score, rank, 1 FROM x1 WHERE n <= 5 - (SELECT count(*) FROM f3 WHERE f3.query_id = x1.query_id)), "
+        "f5 AS (SELECT f4.* EXCLUDE (rank), dl.score AS ds, row_number() OVER (PARTITION BY f4.query_id ORDER BY t, f4.rank, f4.id) AS rank FROM f4 LEFT JOIN dl ON dl.query_id = f4.query_id AND dl.id = f4.id), "
+        "sv AS (SELECT q, max(variant) AS m FROM f5 GROUP BY q), m1 AS (SELECT q AS query_id, id, round(sum(CASE variant WHEN 0 THEN 2.0 ELSE 1.0 END / (20 + rank)), 9) AS score, (list(ds ORDER BY variant))[1] AS ds FROM f5 JOIN sv USING (q) WHERE m > 0 GROUP BY ALL), "
+        f"m2 AS (SELECT query_id, id, score, ds, {_RANK.format('score')} AS rank FROM m1 UNION ALL SELECT q, id, score, ds, rank FROM f5 JOIN sv USING (q) WHERE m = 0), "
+        f"m3 AS (SELECT m2.*, k.* EXCLUDE (id), row_number() OVER (PARTITION BY query_id, {parent} ORDER BY rank) AS pn FROM m2 JOIN corpus k USING (id)), "
+        f"c AS (SELECT m3.* EXCLUDE (ds), ds, b0.query, b0.own, b0.topic, {TOKENS('b0.query')} AS terms FROM m3 JOIN b0 USING (query_id) WHERE pn = 1), "
+        "f AS (SELECT *, " + ", ".join(f"({'coalesce(ds, 0.0)' if n == 'dense_score' else e}) AS {n}" for n, e in _FEATURES.items()) + " FROM c), "
+        f"g1 AS (SELECT * EXCLUDE (score, rank, base_score), rank AS old, round({_SCORE} + CASE WHEN EXISTS (SELECT 1 FROM cp WHERE cp.topic = f.topic AND cp.source = f.source AND abs(cp.page - f.page) BETWEEN 1 AND 3) THEN 0.0015 ELSE 0 END, 6) AS base_score FROM f), "
+        "g2 AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY base_score DESC, old) AS rank FROM g1), " + _FOLD.format(t=_comp("title"), rows="g2") + ", "
+        f"g3 AS (SELECT g2.* EXCLUDE (rank), row_number() OVER (PARTITION BY g2.query_id ORDER BY slot) AS rank FROM fo JOIN g2 ON g2.query_id = fo.query_id AND g2.id = fo.id), g4 AS (SELECT *, {learned} AS learned FROM g3), "
+        "g5 AS (SELECT * EXCLUDE (rank), row_number() OVER (PARTITION BY query_id ORDER BY learned DESC, rank) AS rank FROM g4), "
+        f"g6 AS (SELECT *, round({_over('embedding_text').replace('terms', 'own_terms')}, 6) AS rs FROM (SELECT *, {TOKENS('own')} AS own_terms FROM g5 WHERE rank <= 10)), "
+        "g7 AS (SELECT *, count(*) OVER w AS n, min(rs) OVER w AS lo, max(rs) OVER w AS hi FROM g6 WINDOW w AS (PARTITION BY query_id)), "
+        "g8 AS (SELECT *, CASE WHEN n > 1 THEN round(0.5 * CASE WHEN hi > lo THEN (rs - lo) / (hi - lo) ELSE 0 END + 0.5 * (n - rank + 1) / (n - 1), 9) ELSE 0 END AS fu FROM g7), "
+        "g9 AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY fu DESC, rank) AS final FROM g8) "
+        "SELECT query_id, id, final AS rank, base_score AS score, coalesce(max(ds) OVER (PARTITION BY query_id) < 0.45, false) AS refused FROM g9 WHERE final <= 5"
+    )
+
+
+_HYBRID, _DEGRADED = _search_sql(True), _search_sql(False)
 _RE = _CAND + f", e AS (SELECT query_id, id, rank, round({_over('text')}, 6) AS rerank FROM c)"
 
 SQL = {
@@ -299,7 +364,7 @@ SQL = {
     "q_rrf_fuse": _TWO + f", f AS (SELECT query_id, id, round(sum(1 / (20 + rank)), 9) AS score FROM (SELECT query_id, id, rank FROM r UNION ALL SELECT query_id, id, rank FROM r2) GROUP BY ALL) SELECT * FROM (SELECT *, {_RANK.format('score')} AS rank FROM f) WHERE rank <= 10",
     "q_multi_query_merge": _TWO + f", f AS (SELECT query_id, id, round(sum(w / (20 + rank)), 9) AS score FROM (SELECT query_id, id, rank, 2.0 AS w FROM r UNION ALL SELECT query_id, id, rank, 1.0 FROM r2) GROUP BY ALL) SELECT * FROM (SELECT *, {_RANK.format('score')} AS rank FROM f) WHERE rank <= 10",
     "q_topic_postfilter_topup": _BASE + _bm25_sql(TOKENS, k=40) + ", x AS (SELECT r.*, domain, topic FROM r JOIN corpus USING (id) JOIN asked USING (query_id)), k AS (SELECT * FROM x WHERE rank <= 10 AND (topic IS NULL OR domain = topic)), m AS (SELECT x.*, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS n, (SELECT count(*) FROM k WHERE k.query_id = x.query_id) AS have FROM x WHERE domain = topic AND rank > 10), "
-    f"y AS (SELECT query_id, id, score, 0 AS topped FROM k UNION ALL SELECT query_id, id, score, 1 FROM m WHERE n <= 5 - have) SELECT *, {_RANK.format('score')} AS rank FROM y",
+    "y AS (SELECT query_id, id, score, 0 AS topped, rank AS old FROM k UNION ALL SELECT query_id, id, score, 1, rank FROM m WHERE n <= 5 - have) SELECT query_id, id, score, topped, row_number() OVER (PARTITION BY query_id ORDER BY topped, old) AS rank FROM y",
     "q_parent_collapse": _ONE + ", x AS (SELECT query_id, source || '|' || page AS parent_id, id, rank FROM r JOIN corpus USING (id)) SELECT query_id, parent_id, arg_min(id, rank) AS id, min(rank) AS rank FROM x GROUP BY ALL",
     "q_feature_rerank": _F + f", fs AS (SELECT query_id, id, rank, round({_SCORE}, 6) AS feature_score FROM f) SELECT query_id, id, feature_score, row_number() OVER (PARTITION BY query_id ORDER BY feature_score DESC, rank) AS new_rank FROM fs",
     "q_ltr_score": _F + f" SELECT query_id, id, round(1 / (1 + exp(-greatest(least({_Z}, 50), -50))), 6) AS learned FROM f",
@@ -307,6 +372,9 @@ SQL = {
     "q_alpha_fusion": _RE + ", n AS (SELECT *, count(*) OVER w AS n, min(rerank) OVER w AS a, max(rerank) OVER w AS b FROM e WINDOW w AS (PARTITION BY query_id)), f AS (SELECT query_id, id, rank, round(0.5 * CASE WHEN b > a THEN (rerank - a) / (b - a) ELSE 0 END + 0.5 * CASE WHEN n > 1 THEN (n - rank + 1) / (n - 1) ELSE 1 END, 9) AS fused FROM n) SELECT query_id, id, fused, new_rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY fused DESC, rank) AS new_rank FROM f) WHERE new_rank <= 10",
     "q_margin_fusion": _RE + " SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY round_even(rerank / 0.1, 0) DESC, rank) AS new_rank FROM e",
     "q_band_context": _ONE + ", x AS (SELECT query_id, id, rank, source, page FROM r JOIN corpus USING (id)) SELECT query_id, id, rank FROM x WHERE EXISTS (SELECT 1 FROM x b WHERE b.query_id = x.query_id AND b.rank = 1 AND b.source = x.source AND abs(b.page - x.page) BETWEEN 1 AND 3)",
+    "q_near_dup_fold": _CAND + ", " + _FOLD.format(t=_comp("title"), rows="c") + " SELECT query_id, id, slot FROM fo",
+    "q_hybrid_search": _HYBRID,
+    "q_degraded_search": _DEGRADED,
     "q_dense_topk": _VEC + " SELECT query_id, id, score, rank FROM t",
     "q_relevance_gate": _VEC + " SELECT query_id, score, score < 0.45 AS refused FROM t WHERE rank = 1",
     "q_eval_metrics": _METRICS + " SELECT query_id, recall1, recall3, recall5, recall10, rr, ndcg10 FROM m",

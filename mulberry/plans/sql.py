@@ -57,3 +57,19 @@ def WORDS(c: str) -> str:
 
 def CHOICE(c: str) -> str:
     return f"array_to_string(list_sort(regexp_extract_all(upper(coalesce({c}, '')), '[ABCD]')), '')"
+
+
+INTENT = (
+    f"CASE WHEN {any_of('question', T.PROCESS_CUES)} THEN 'process' WHEN regexp_matches(question, '{T.ACRONYM}') THEN 'acronym' "
+    f"WHEN {any_of('question', T.FACT_CUES)} OR regexp_matches(question, '[0-9]|第[一二三四五六七八九十]+') THEN 'fact' WHEN {any_of('question', T.COMPARISON_CUES)} THEN 'comparison' "
+    f"WHEN {any_of('question', T.DEFINITION_CUES)} THEN 'definition' ELSE 'other' END"
+)
+_WORD = "[\\p{L}\\p{N}_]+".replace("{", "{{").replace("}", "}}")
+_ADDED = " || ".join(
+    f"CASE WHEN {' AND '.join([*[f'contains(upper({{q}}), {chr(39)}{w}{chr(39)})' for w in need], any_of('upper({q})', one)])} THEN [{', '.join(chr(39) + t + chr(39) for t in terms)}] ELSE []::VARCHAR[] END" for need, one, terms in T.REWRITE_RULES
+)
+_SPACE = SPACES.replace("{", "{{").replace("}", "}}")
+#: The rewritten form of the column ``q`` (to be filled in).
+REWRITTEN = (
+    f"array_to_string([regexp_replace({{q}}, '^{_SPACE}+|{_SPACE}+$', '', 'g')] || list_filter({_ADDED}, lambda t: NOT list_contains(regexp_extract_all(lower(regexp_replace({{q}}, '^{_SPACE}+|{_SPACE}+$', '', 'g')), '{_WORD}'), lower(t))), ' ')"
+)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from mulberry.functions import text as T
 from mulberry.operators import catalog, chunking, dense, questions
-from mulberry.plans.sql import CHOICE, LEVELS, SPACES, TOKENS, any_of, strip, words_hit
+from mulberry.plans.sql import CHOICE, INTENT, LEVELS, REWRITTEN, SPACES, TOKENS, any_of, strip, words_hit
 from mulberry.sources.tables import table
 
 
@@ -177,15 +177,7 @@ _MATCH = f"regexp_replace(coalesce(stem, ''), '{SPACES}|[，。：:；;、（）
 _FILE_TOPIC = "CASE " + " ".join(f"WHEN contains(source, '{p}') THEN '{t}'" for p, t in questions.FILE_TOPICS) + " ELSE '未分类' END"
 _HITS = ", ".join(f"({words_hit('x', w)}, {-i}, '{t}')" for i, (t, w) in enumerate(questions.TOPIC_WORDS))
 _OPTION_KEYS = "CASE WHEN json_valid(options) THEN json_keys(options) ELSE []::VARCHAR[] END"
-_ADDED = " || ".join(
-    f"CASE WHEN {' AND '.join([*[f'contains(u, {chr(39)}{w}{chr(39)})' for w in need], any_of('u', one)])} THEN [{', '.join(chr(39) + t + chr(39) for t in terms)}] ELSE [] END" for need, one, terms in T.REWRITE_RULES
-)
-_INTENT = (
-    f"CASE WHEN {any_of('question', T.PROCESS_CUES)} THEN 'process' WHEN regexp_matches(question, '{T.ACRONYM}') THEN 'acronym' "
-    f"WHEN {any_of('question', T.FACT_CUES)} OR regexp_matches(question, '[0-9]|第[一二三四五六七八九十]+') THEN 'fact' WHEN {any_of('question', T.COMPARISON_CUES)} THEN 'comparison' "
-    f"WHEN {any_of('question', T.DEFINITION_CUES)} THEN 'definition' ELSE 'other' END"
-)
-
+_INTENT = INTENT
 LEVEL_ANY = LEVELS("level")
 
 SQL = {
@@ -194,7 +186,7 @@ SQL = {
     "q_normalise": f"SELECT id, {_MATCH} AS match_form, regexp_replace(lower(coalesce(stem, '')), '[^一-鿿A-Za-z0-9]', '', 'g') AS compact, md5(regexp_replace(lower(coalesce(stem, '')), '[^\\p{{L}}\\p{{N}}_]+', '', 'g')) AS content FROM questions",
     "q_acronyms": f"SELECT acronym, count(*) AS n FROM (SELECT unnest(list_distinct(regexp_extract_all(stem, '{T.ACRONYM}'))) AS acronym FROM questions) GROUP BY ALL",
     "q_levels": f"SELECT level, {LEVEL_ANY} AS normal, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, '[第一二三四五六七八九十0-9]{{1,5}}级')) AS level FROM kb_chunks) GROUP BY ALL",
-    "q_query_rewrite": f"SELECT id, array_to_string([q] || list_filter(a, lambda t: NOT list_contains(h, lower(t))), ' ') AS query FROM (SELECT id, q, h, {_ADDED} AS a FROM (SELECT id, {strip('question')} AS q, upper(question) AS u, regexp_extract_all(lower({strip('question')}), '[\\p{{L}}\\p{{N}}_]+') AS h FROM question_signals))",
+    "q_query_rewrite": f"SELECT id, {REWRITTEN.format(q='question')} AS query FROM question_signals",
     "q_query_intent": f"SELECT id, k AS kind, k IN ('process', 'fact') AS learned FROM (SELECT id, {_INTENT} AS k FROM question_signals)",
     "q_topic_classify": f"WITH t AS (SELECT id, lower(concat_ws(' ', stem, array_to_string(list_transform(json_keys(options), lambda k: json_extract_string(options, '$.' || k)), ' '), analysis)) AS x FROM questions), h AS (SELECT id, unnest([{_HITS}]) AS s FROM t) SELECT id, CASE WHEN max(s)[1] > 0 THEN max(s)[3] END AS topic FROM h GROUP BY id",
     "q_choice_grade": f"SELECT a.correct, CASE WHEN q.id IS NOT NULL THEN {CHOICE('a.choice')} = {CHOICE('q.answer')} END AS graded, count(*) AS n FROM attempts a LEFT JOIN questions q ON q.id = a.question_id GROUP BY ALL",
