@@ -85,12 +85,6 @@ def mastery(correct: Column, wrong: Column) -> Column:
     return F.round((correct + 1) / (correct + wrong + 2), 4)
 
 
-def log_factorials(n: Column) -> Column:
-    """ln(k!) for k from 0 to n as an array."""
-    steps = F.sequence(F.lit(1), F.greatest(n, F.lit(1)).cast("int"))
-    return F.aggregate(steps, F.array(F.lit(0.0)), lambda acc, k: F.concat(acc, F.array(F.element_at(acc, -1) + F.log(k.cast("double")))))
-
-
 def ln_gamma(x: Column) -> Column:
     """ln Γ(x) for x >= 1 by Stirling's series, shifted up by 8 (error below 1e-12)."""
     z = x + 8
@@ -191,6 +185,52 @@ def topic_profile(attempts: DataFrame, signals: DataFrame, now: float, topics: D
     )
 
 
+def full_profile(attempts: DataFrame, signals: DataFrame, now: float, topics: DataFrame | None = None, settings: Settings = DEFAULTS) -> DataFrame:
+    """topic_profile with ``accuracy``, ``confidence``, ``last_seen_days``, ``rating``, ``streak`` and ``best_streak``. Topics without
+    attempts have the first rating, no streak and no accuracy, confidence or last day."""
+    named = attempts.where("domain is not null")
+    told = topic_profile(attempts, signals, now, topics, settings).join(replay(named, "domain", settings), "domain", "left").join(streaks(named, "domain"), "domain", "left")
+    last = topic_accuracy(attempts).select("domain", F.round((F.lit(now) - F.col("last_at")) / 86400.0, 6).alias("last_seen_days"))
+    wrong = F.col("attempts") - F.col("correct")
+    return told.join(last, "domain", "left").select(
+        *[c for c in told.columns if c not in ("elo", "streak", "best_streak")],
+        F.when(F.col("attempts") > 0, F.round(F.col("correct") / F.col("attempts"), 4)).alias("accuracy"),
+        F.when(F.col("attempts") > 0, F.round(confidence(F.col("correct") + 1, wrong + 1), 4)).alias("confidence"),
+        "last_seen_days",
+        F.round(F.coalesce("elo", F.lit(settings.elo_start)), 1).alias("rating"),
+        F.coalesce("streak", F.lit(0)).alias("streak"),
+        F.coalesce("best_streak", F.lit(0)).alias("best_streak"),
+    )
+
+
+def flagged_topics(profile: DataFrame) -> DataFrame:
+    """``flag``, ``domain``: topics that are weak, due for review (and practised enough to tell) or only asked about."""
+    flags = {"weak": F.col("weak"), "review_due": ~F.col("insufficient") & F.col("due_for_review"), "ask_unverified": F.col("ask_unverified")}
+    return profile.select("domain", F.explode(F.array_compact(F.array(*[F.when(c, n) for n, c in flags.items()]))).alias("flag")).select("flag", "domain")
+
+
+def summary(profile: DataFrame, cards: DataFrame, now: float) -> DataFrame:
+    """One row: attempts, accuracy over all, topics by flag, and cards that are due."""
+    totals = profile.agg(
+        F.coalesce(F.sum("attempts"), F.lit(0)).alias("total_attempts"), F.coalesce(F.sum("correct"), F.lit(0)).alias("total_correct"), F.count_if("weak").alias("weak_topics"),
+        F.count_if(~F.col("insufficient") & F.col("due_for_review")).alias("due_topics"), F.count_if("ask_unverified").alias("unverified_topics"),
+    )
+    due = cards.agg(F.count_if(F.col("due") <= now).alias("due_cards"))
+    accuracy = F.when(F.col("total_attempts") > 0, F.round(F.col("total_correct") / F.col("total_attempts"), 4))
+    return totals.crossJoin(F.broadcast(due)).withColumn("total_accuracy", accuracy).drop("total_correct")  # one row each
+
+
+def simulated_attempts(abilities: DataFrame, per_topic: int, seed: int, now: float) -> DataFrame:
+    """Attempts of a student who answers a topic right with the chance ``ability``: one a day, the last a day before ``now``. The
+    draws are hashes of seed, topic and number. abilities: domain, ability."""
+    told = abilities.select("domain", "ability", F.explode(F.sequence(F.lit(1), F.lit(per_topic))).alias("k"))
+    name = F.concat_ws("|", "domain", F.col("k").cast("string"))
+    return told.select(
+        F.xxhash64(name).alias("id"), F.concat(F.lit("sim_"), name).alias("question_id"), "domain", F.lit("A").alias("choice"),
+        (uniform(name, seed) <= F.col("ability")).alias("correct"), (F.lit(now) - (per_topic + 1 - F.col("k")) * 86400.0).alias("answered_at"),
+    )
+
+
 def topic_status(profile: DataFrame) -> Column:
     """The first that holds: weak, ask_unverified, insufficient, due, normal."""
     return F.when(profile.weak, "weak").when(profile.ask_unverified, "ask_unverified").when(profile.insufficient, "insufficient").when(profile.due_for_review, "due").otherwise("normal")

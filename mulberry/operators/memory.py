@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -29,3 +29,9 @@ def thread_matches(scored: DataFrame, k: int) -> DataFrame:
     id, thread_id, score."""
     w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id")
     return scored.where(F.col("query_thread") == F.col("thread_id")).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def round_text(question: Column, answer: Column, intent: Column) -> Column:
+    """The text of a round that is embedded; what is missing is empty."""
+    part = lambda name, c: F.concat(F.lit(f"{name}: "), F.coalesce(c, F.lit("")))
+    return F.concat_ws("\n", part("意图", intent), part("用户", question), part("助手", answer))

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from mulberry.functions import text as T
+
 BINS, FEW = 1024, 50_000
 
 
@@ -66,6 +68,42 @@ def request_summary(requests: DataFrame, last: int = 500) -> DataFrame:
     return newest.agg(F.count(F.lit(1)).alias("requests"), F.round(F.coalesce(F.avg("value"), F.lit(0.0)), 6).alias("mean"), F.round(capped_percentile(F.col("value"), 0.95), 1).alias("p95"), F.round(F.coalesce(F.sum("value"), F.lit(0.0)), 4).alias("total"))
 
 
+def request_report(requests: DataFrame, last: int = 500) -> DataFrame:
+    """One row over the newest requests: how many, mean total, route and retrieval times, 95 % first-token and total times, token
+    sums. requests: id, route_ms, retrieval_ms, first_token_ms, total_ms, prompt_tokens, completion_tokens; nulls don't count, a mean
+    or sum of nothing is 0, a percentile of nothing null."""
+    newest = requests.orderBy(F.col("id").desc()).limit(last)
+    mean = lambda c: F.round(F.coalesce(F.avg(c), F.lit(0.0)), 1).alias(f"avg_{c}")
+    p95 = lambda c: F.round(capped_percentile(F.col(c), 0.95), 1).alias(f"p95_{c}")
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).alias(f"total_{c}")
+    return newest.agg(F.count(F.lit(1)).alias("requests"), *map(mean, ("total_ms", "route_ms", "retrieval_ms")), *map(p95, ("first_token_ms", "total_ms")), *map(total, ("prompt_tokens", "completion_tokens")))
+
+
+def requests_by_intent(requests: DataFrame, last: int = 500) -> DataFrame:
+    """``intent``, ``requests`` over the newest requests: an empty intent is unknown, a null one doesn't count."""
+    newest = requests.orderBy(F.col("id").desc()).limit(last).where(F.col("intent").isNotNull())
+    return newest.groupBy(F.coalesce(F.nullif("intent", F.lit("")), F.lit("unknown")).alias("intent")).agg(F.count(F.lit(1)).alias("requests"))
+
+
+def structure_report(chunks: DataFrame) -> DataFrame:
+    """``kind``, ``chunks``, ``parents``, ``children_per_parent``, mean, median, 90 % and greatest length, ``titled`` and ``duplicates`` (content
+    keys that occur before) in percent. Order statistics are taken from the counts of each length, of which there are few.
+
+    chunks: kind, parent_id, title, text; a null text has length 0.
+    """
+    told = chunks.select("kind", "parent_id", F.length(F.coalesce("text", F.lit(""))).alias("n"), F.coalesce("title", F.lit("")).alias("title"), F.md5(T.content_key(F.coalesce("text", F.lit("")))).alias("key"))
+    sums = told.groupBy("kind").agg(
+        F.count(F.lit(1)).alias("chunks"), F.count_distinct("parent_id").alias("parents"), F.round(F.avg("n"), 1).alias("mean"), F.max("n").alias("longest"),
+        F.round(100 * F.avg((F.col("title") != "").cast("int")), 1).alias("titled"), F.round(100 * (1 - F.count_distinct("key") / F.count(F.lit(1))), 2).alias("duplicates"),
+    )
+    upto = Window.partitionBy("kind").orderBy("n")
+    counts = told.groupBy("kind", "n").agg(F.count(F.lit(1)).alias("c")).withColumn("upto", F.sum("c").over(upto)).withColumn("all", F.sum("c").over(Window.partitionBy("kind")))
+    at = lambda index: F.min(F.when(F.col("upto") > index, F.col("n")))
+    low, high = at(F.floor((F.col("all") - 1) / 2)), at(F.floor(F.col("all") / 2))
+    orders = counts.groupBy("kind").agg(((low + high) / 2).alias("median"), at(F.floor((F.col("all") - 1) * 0.9)).alias("p90"))
+    return sums.join(orders, "kind").withColumn("children_per_parent", F.round(F.col("chunks") / F.col("parents"), 2))
+
+
 def threshold_gate(values: DataFrame, thresholds: DataFrame) -> DataFrame:
     """``metric``, ``value``, ``threshold`` of every metric that is missing or below its threshold."""
     return thresholds.join(values, "metric", "left").where(F.col("value").isNull() | (F.col("value") < F.col("threshold"))).select("metric", "value", "threshold")

@@ -15,6 +15,7 @@ from mulberry.config import DEFAULTS
 from mulberry.functions import text as T
 from mulberry.operators.catalog import first_with_key
 from mulberry.operators.records import let
+from mulberry.session import checkpointed
 
 # Subject areas by key words, in the order in which ties are decided.
 TOPIC_WORDS = (
@@ -175,3 +176,20 @@ def graded(attempts: DataFrame, questions: DataFrame) -> DataFrame:
     known = questions.select(F.col("id").alias("question_id"), T.choice_letters(F.coalesce("answer", F.lit(""))).alias("told"), F.lit(True).alias("known"))
     same = T.choice_letters(F.coalesce("choice", F.lit(""))) == F.col("told")
     return attempts.join(known, "question_id", "left").withColumn("right", F.when(F.col("known"), same)).drop("told", "known")
+
+
+def redacted(questions: DataFrame) -> DataFrame:
+    """What may be shown before a question is answered: no answer, no analysis."""
+    return questions.select("id", "source", "domain", "stem", "options")
+
+
+def generated(rows: DataFrame, now_ms: int, order: str) -> DataFrame:
+    """Generated questions as rows of the bank: ids ``ai_`` and a number from ``now_ms`` on, in the order given; their source is
+    AI生成. Numbers are counted within partitions of the order and put together, so no task sees all rows."""
+    told = rows.select("stem", "options", "answer", F.coalesce("analysis", F.lit("")).alias("analysis"), "domain").repartitionByRange(order).sortWithinPartitions(order)
+    placed = checkpointed(told.withColumn("__p", F.spark_partition_id()).withColumn("__i", F.monotonically_increasing_id()))
+    sizes = placed.groupBy("__p").agg(F.count(F.lit(1)).alias("__size"), F.min("__i").alias("__low"))
+    starts = sizes.withColumn("__start", F.coalesce(F.sum("__size").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    number = F.lit(now_ms) + F.col("__start") + F.col("__i") - F.col("__low")
+    joined = placed.join(F.broadcast(starts), "__p")  # a row for each partition
+    return joined.select(F.concat(F.lit("ai_"), number.cast("string")).alias("id"), F.lit("AI生成").alias("source"), F.lit(0).alias("num"), "stem", "options", "answer", "analysis", "domain", F.lit(False).alias("needs_review"))
