@@ -30,6 +30,12 @@ NUMERALS = ("十", "一", "二", "三", "四", "五", "六", "七", "八", "九"
 ACRONYM = "[A-Za-z][A-Za-z0-9+-]+"
 VERSION = r"[Vv]?\d+(?:\.\d+)+"
 RUN = "[a-z0-9]+|[一-鿿]+"
+# Sentences, and lines that are bullets, headings, closed sentences or page numbers.
+SENTENCES = r"[^。！？!?；;\n]+[。！？!?；;\n]?"
+BULLET_LINE = r"^(?:[•·●○◆◇■□▪▫—-]|\d+(?:\.\d+)*[、.．)]|[（(][一二三四五六七八九十0-9]+[）)]|[一二三四五六七八九十]+、)"
+HEADING_LINE = r"^(?:第[一二三四五六七八九十0-9]+[章节部分]|\d+(?:\.\d+){1,3}\s*\S)"
+CLOSED_LINE = "[。！？!?；;：:]$"
+PAGE_LINE = r"^(?:[-—–]\s*)?(?:第\s*)?\d{1,4}(?:\s*页)?(?:\s*[-—–])?$"
 SPACES = r"[\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 
 
@@ -168,12 +174,13 @@ def choice_letters(c: Column) -> Column:
 
 
 def line_kind(c: Column) -> Column:
-    """page_number, bullet, sentence, title or text."""
+    """page_number, bullet, sentence, title or text: a title has 24 characters at most, 45 where it is a heading."""
+    line = strip(c)
     return (
-        F.when(c.rlike(r"^[\s]*[-—–]?\s*\d{1,4}\s*[-—–]?[\s]*$|^第\s*\d+\s*页"), "page_number")
-        .when(c.rlike(r"^\s*(?:[-•·*●▪]|\d{1,2}[.、．)）]|[（(]\d{1,2}[)）])"), "bullet")
-        .when(c.rlike("[。！？!?；;.]\\s*$"), "sentence")
-        .when(F.length(c) <= 30, "title")
+        F.when(line.rlike(PAGE_LINE), "page_number")
+        .when(line.rlike(BULLET_LINE), "bullet")
+        .when(line.rlike(CLOSED_LINE), "sentence")
+        .when((F.length(line) <= 24) | ((F.length(line) <= 45) & line.rlike(HEADING_LINE)), "title")
         .otherwise("text")
     )
 

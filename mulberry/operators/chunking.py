@@ -17,9 +17,10 @@ from pyspark.sql import functions as F
 from mulberry.config import DEFAULTS
 from mulberry.functions import text as T
 
-_END = re.compile(r"[^。！？!?；;\n]*[。！？!?；;\n]|[^。！？!?；;\n]+$")
-_BULLET = re.compile(r"^\s*(?:[-•·*●▪]|\d{1,2}[.、．)）]|[（(]\d{1,2}[)）])")
-_PAGE_NUMBER = r"^\s*[-—–]?\s*\d{1,4}\s*[-—–]?\s*$|^\s*第\s*\d+\s*页\s*$"
+# How sentences end, and what bullets, headings and closed lines look like.
+_SENTENCE = re.compile(T.SENTENCES)
+_BULLET, _HEADING, _CLOSED = re.compile(T.BULLET_LINE), re.compile(T.HEADING_LINE), re.compile(T.CLOSED_LINE)
+_PAGE_NUMBER = T.PAGE_LINE
 
 
 def drop_repeated_lines(pages: DataFrame, doc: str = "source", page: str = "id", share: float = 0.5, longest: int = 60) -> DataFrame:
@@ -52,23 +53,27 @@ def carried_forward(df: DataFrame, by: str, block: str, order: str, value: str)
 
 
 def split_long(text: str, most: int) -> list[str]:
-    """Sentences packed greedily up to a length; a longer sentence is cut hard."""
+    """Sentences packed greedily up to a length; a longer sentence is cut hard and stands alone. Of a run of closing marks
+    only the first stays; blank parts are left out."""
     if len(text) <= most:
         return [text]
     parts, held = [], ""
-    for sentence in _END.findall(text):
-        if len(held) + len(sentence) > most and held.strip():
-            parts.append(held.strip())
+    for sentence in _SENTENCE.findall(text):
+        if len(held) + len(sentence) > most:
+            parts.append(held)
             held = ""
-        while len(sentence) > most:
-            parts.append(sentence[:most].strip())
-            sentence = sentence[most:]
-        held += sentence
-    return [p for p in (*parts, held.strip()) if p]
+        if len(sentence) > most:
+            parts += [sentence[at : at + most] for at in range(0, len(sentence), most)]
+        else:
+            held += sentence
+    return [p.strip() for p in (*parts, held) if p.strip()]
 
 
 def looks_like_title(line: str) -> bool:
-    return 0 < len(line.strip()) <= 30 and not _BULLET.match(line) and line.strip()[-1] not in "。！？!?；;，,.：:"
+    """A line of at most 45 characters that is no bullet and ends no sentence: a chapter heading, a numbered heading, or
+    24 characters at most."""
+    line = line.strip()
+    return 0 < len(line) <= 45 and not _BULLET.match(line) and not _CLOSED.search(line) and (len(line) <= 24 or bool(_HEADING.match(line)))
 
 
 def semantic_units(text: str) -> tuple[str, list[str]]:
@@ -78,7 +83,7 @@ def semantic_units(text: str) -> tuple[str, list[str]]:
     title = lines.pop(0) if lines and looks_like_title(lines[0]) else ""
     units: list[str] = []
     for line in lines:
-        if units and not _BULLET.match(line) and not looks_like_title(line) and not (len(units[-1]) >= 80 and units[-1][-1] in "。！？!?；;"):
+        if units and not _BULLET.match(line) and not looks_like_title(line) and not (len(units[-1]) >= 80 and _CLOSED.search(units[-1])):
             units[-1] += "\n" + line
         else:
             units.append(line)
@@ -86,26 +91,22 @@ def semantic_units(text: str) -> tuple[str, list[str]]:
 
 
 def pack_units(units: list[str], target: int, most: int, overlap: int) -> list[str]:
-    """Units packed up to the target, each child starting with the last units of the one before; a short tail is merged."""
+    """Units packed up to the target, each child starting with the last units of the one before. A short tail joins the child
+    before it; a child beyond the limit is split. Children are spans of the units, told by where they start and end."""
     pieces = [p for u in units for p in split_long(u, most)]
-    children: list[list[str]] = []
-    held: list[str] = []
-    fresh = 0
-    for piece in pieces:
-        size = sum(len(p) + 1 for p in held)
-        if held and fresh and size + len(piece) > target:
-            children.append(held)
-            held = held[len(held) - overlap :] if overlap and sum(len(p) + 1 for p in held[-overlap:]) + len(piece) <= most else []
-            fresh = 0
-        held = [*held, piece]
-        fresh += 1
-    if held and fresh:
-        tail = "\n".join(held[-fresh:])
-        if children and len(tail) < min(80, max(20, target // 2)) and sum(len(p) + 1 for p in children[-1]) + len(tail) <= most:
-            children[-1] = [*children[-1], *held[-fresh:]]
-        else:
-            children.append(held)
-    return ["\n".join(c) for c in children]
+    upto = [0]
+    for p in pieces:
+        upto.append(upto[-1] + len(p) + 1)
+    spans, start = [], 0
+    for i in range(len(pieces)):
+        if i > start and upto[i + 1] - upto[start] - 1 > target:
+            spans.append((start, i))
+            start = max(start, i - overlap)
+    if pieces:
+        spans.append((start, len(pieces)))
+    if len(spans) > 1 and upto[-1] - upto[start] - 1 < min(80, max(20, target // 2)):
+        spans[-2:] = [(spans[-2][0], len(pieces))]
+    return [part for a, b in spans for part in split_long("\n".join(pieces[a:b]), most)]
 
 
 def table_parts(markdown: str, most: int) -> list[str]:

@@ -96,6 +96,10 @@ SQL = {
     "q_gold_contract": "WITH c AS (SELECT question AS id, question, coalesce(domain, '') AS topic FROM question_signals), p AS (SELECT 'repeated_id' AS problem FROM (SELECT id FROM c GROUP BY id HAVING count(*) > 1) UNION ALL SELECT 'empty_question' FROM c WHERE coalesce(trim(question, ' '), '') = '' UNION ALL SELECT 'unknown_topic' FROM c WHERE topic NOT IN (SELECT domain FROM topics) UNION ALL SELECT 'uncovered_topic' FROM topics WHERE domain NOT IN (SELECT topic FROM c)) SELECT problem, count(*) AS n FROM p GROUP BY problem",
     "q_citation_support": "SELECT id, 2 AS cited, (page IS NOT NULL)::INT + (page = 1 AND contains(source, '别处'))::INT AS supported FROM kb_chunks",
     "q_source_display": "SELECT domain, array_to_string(list_slice(list_sort(list(DISTINCT source)), 1, 4), '、') AS sources FROM kb_chunks GROUP BY domain",
+    "q_next_question": learner_queries.SQL["q_topic_weights"].replace(" SELECT domain, round(w, 6) AS weight, round(w / sum(w) OVER (), 6) AS share FROM u", "")
+    + ", wt AS (SELECT domain, round(w, 6) AS weight FROM u), p0 AS (SELECT id, domain FROM questions WHERE coalesce(answer, '') <> '' AND NOT coalesce(needs_review, false) AND coalesce(trim(dup_of, ' '), '') = ''), p1 AS (SELECT * FROM p0 WHERE id NOT IN (SELECT question_id FROM attempts WHERE correct AND question_id IS NOT NULL)), p2 AS (SELECT * FROM p1 UNION ALL SELECT * FROM p0 WHERE NOT EXISTS (SELECT 1 FROM p1)), "
+    f"du AS (SELECT question_id AS id FROM review_cards WHERE due <= {learner_queries.NOW} AND question_id IN (SELECT id FROM p2) ORDER BY due, question_id LIMIT 20), tp AS (SELECT domain FROM wt WHERE weight > 0 AND domain IN (SELECT domain FROM p2) ORDER BY -ln((('0x' || left(md5('{learner_queries.SEED}|' || domain), 8))::BIGINT + 1) / 4294967296.0) / weight, domain LIMIT 1), "
+    f"al AS (SELECT id, 0 AS way FROM du UNION ALL SELECT id, 1 FROM p2 WHERE domain IN (SELECT domain FROM tp)) SELECT id, way FROM al ORDER BY way, md5('{learner_queries.SEED}|' || id), id LIMIT 1",
     "q_ask_bonus": "WITH s AS (SELECT domain, count(*) AS asks FROM question_signals WHERE domain IS NOT NULL GROUP BY domain HAVING count(*) >= 3) SELECT s.domain, asks, coalesce(a.n, 0) AS attempts FROM s LEFT JOIN (SELECT domain, count(*) AS n FROM attempts GROUP BY domain) a ON a.domain = s.domain",
 }
 QUERIES = {name: f for name, f in globals().items() if name.startswith("q_")}

@@ -102,7 +102,8 @@ def q_attempted(spark, d):
 
 
 def q_fsrs_cards(spark, d):
-    return schedule.cards(_attempts(spark, d))
+    told = schedule.cards(_attempts(spark, d))
+    return told.select("question_id", "state", "step", F.round("stability", 4).alias("stability"), F.round("difficulty", 4).alias("difficulty"), F.round("due", 2).alias("due"), "last_review", "reps", "lapses")
 
 
 def q_due_cards(spark, d):
@@ -214,6 +215,19 @@ _PROFILE = (
     f"CASE WHEN attempts > 0 THEN round(CASE WHEN {NOW} <= last_at THEN 1 ELSE pow(2, -(({NOW} - last_at) / 86400) / 7) END, 6) ELSE 1 END AS memory_strength, attempts < 2 AS insufficient FROM b), "
     "f AS (SELECT *, NOT insufficient AND coalesce(p_below, 0) > 0.7 AS weak, asks >= 3 AND insufficient AS ask_unverified, NOT insufficient AND memory_strength <= 0.5 AS due_for_review FROM p)"
 )
+_W = schedule.WEIGHTS
+# the published formulas again, an answer a step
+_FSRS = (
+    "WITH RECURSIVE a AS (SELECT question_id AS q, row_number() OVER (PARTITION BY question_id ORDER BY answered_at, id) AS i, CASE WHEN correct THEN 3 ELSE 1 END AS g, correct AS ok, answered_at AS t FROM attempts WHERE question_id IS NOT NULL AND answered_at IS NOT NULL AND correct IS NOT NULL), "
+    f"c(q, i, state, step, s, d, due, t, reps, lapses) AS (SELECT q, i, 1, ok::INT, CASE WHEN ok THEN {_W[2]} ELSE {_W[0]} END::DOUBLE, greatest(1, least(10, {_W[4]} - exp({_W[5]} * (g - 1)) + 1))::DOUBLE, t + CASE WHEN ok THEN 600 ELSE 60 END, t, 1::BIGINT, (NOT ok)::BIGINT FROM a WHERE i = 1 "
+    "UNION ALL SELECT q, i, CASE WHEN graduated THEN 2 WHEN state = 2 THEN 3 ELSE state END, CASE WHEN graduated THEN NULL WHEN state = 2 OR NOT ok THEN 0 ELSE step + 1 END, s2, d2, "
+    "t + CASE WHEN graduated THEN greatest(1, round(s2)) * 86400 WHEN state = 1 AND NOT ok THEN 60 ELSE 600 END, t, reps + 1, lapses + (NOT ok)::BIGINT FROM ("
+    "SELECT *, ok AND (state = 2 OR state = 3 OR step >= 1) AS graduated, greatest(0.001, CASE WHEN days < 1 THEN s * CASE WHEN ok THEN greatest(1, gain) ELSE gain END "
+    f"WHEN ok THEN s * (1 + exp({_W[8]}) * (11 - d) * pow(s, -{_W[9]}) * (exp({_W[10]} * (1 - recall)) - 1)) ELSE least({_W[11]} * pow(d, -{_W[12]}) * (pow(s + 1, {_W[13]}) - 1) * exp({_W[14]} * (1 - recall)), s / exp({_W[17]} * {_W[18]})) END) AS s2, "
+    f"greatest(1, least(10, {_W[7]} * ({_W[4]} - exp({_W[5]} * 3) + 1) + (1 - {_W[7]}) * (d - {_W[6]} * (g - 3) * (10 - d) / 9))) AS d2 FROM ("
+    f"SELECT a.q, a.i, a.g, a.ok, a.t, c.state, c.step, c.s, c.d, c.reps, c.lapses, greatest(0, (a.t - c.t) / 86400) AS days, exp({_W[17]} * (a.g - 3 + {_W[18]})) * pow(c.s, -{_W[19]}) AS gain, pow(1 + (pow(0.9, -1 / {_W[20]}) - 1) * greatest(0, (a.t - c.t) / 86400) / c.s, -{_W[20]}) AS recall FROM c JOIN a ON a.q = c.q AND a.i = c.i + 1))) "
+    "SELECT q AS question_id, state, step, round(s, 4) AS stability, round(d, 4) AS difficulty, round(due, 2) AS due, t AS last_review, reps, lapses FROM c QUALIFY row_number() OVER (PARTITION BY q ORDER BY i DESC) = 1"
+)
 _DRAW = f"(('0x' || left(md5('{SEED}|' || p_partkey), 8))::BIGINT + 1) / 4294967296.0"
 
 SQL = {
@@ -222,6 +236,10 @@ SQL = {
     "q_elo_replay": f"WITH RECURSIVE {_ELO} SELECT * FROM elo",
     "q_streaks": "WITH w AS (SELECT domain, correct, row_number() OVER (PARTITION BY domain ORDER BY answered_at, id) AS i, row_number() OVER (PARTITION BY domain, correct ORDER BY answered_at, id) AS j, count(*) OVER (PARTITION BY domain) AS n FROM attempts WHERE domain IS NOT NULL), r AS (SELECT domain, i - j AS g, count(*) AS k, max(i) AS e, max(n) AS n FROM w WHERE correct GROUP BY ALL) SELECT d.domain, coalesce(max(CASE WHEN e = n THEN k END), 0) AS streak, coalesce(max(k), 0) AS best_streak FROM (SELECT DISTINCT domain FROM w) d LEFT JOIN r USING (domain) GROUP BY d.domain",
     "q_beta_mastery": f"WITH t AS (SELECT question_id, count(*) AS n, count_if(correct) AS c FROM attempts GROUP BY question_id) SELECT question_id, round((c + 1) / (n + 2), 4) AS mastery, round(least({_TAIL}, 1), 6) AS p_below FROM t",
+    "q_confidence": "WITH RECURSIVE t AS (SELECT domain, count(*) AS n, count_if(correct) AS c FROM attempts WHERE domain IS NOT NULL GROUP BY domain), b(domain, n, c, p, lo, hi, i) AS (SELECT domain, n, c, p::DOUBLE, 0.0::DOUBLE, 1.0::DOUBLE, 0 FROM t, (VALUES (0.05), (0.95)) v(p) "
+    "UNION ALL SELECT domain, n, c, p, CASE WHEN f < p THEN m ELSE lo END, CASE WHEN f < p THEN hi ELSE m END, i + 1 FROM (SELECT *, 1 - list_sum(list_transform(range(0, (c + 1)::BIGINT), lambda j: exp(lgamma(n + 2) - lgamma(j + 1) - lgamma(n + 2 - j) + j * ln(m) + (n + 1 - j) * ln(1 - m)))) AS f FROM (SELECT *, (lo + hi) / 2 AS m FROM b WHERE i < 40))), "
+    "q AS (SELECT domain, 1 - max((lo + hi) / 2) FILTER (p > 0.5) + max((lo + hi) / 2) FILTER (p < 0.5) AS c FROM b WHERE i = 40 GROUP BY domain) SELECT domain, round(greatest(least(c, 1), 0), 4) AS confidence, CASE WHEN c < 0.5 THEN 'low' WHEN c < 0.8 THEN 'medium' ELSE 'high' END AS label FROM q",
+    "q_fsrs_cards": _FSRS,
     "q_forgetting": f"WITH t AS (SELECT question_id, ({NOW} - max(answered_at)) / 86400 AS days FROM attempts GROUP BY question_id), s AS (SELECT question_id, round(CASE WHEN days <= 0 THEN 1 ELSE pow(2, -days / 7) END, 6) AS strength FROM t) SELECT *, strength <= 0.5 AS due FROM s",
     "q_topic_profile": f"WITH {_PROFILE} SELECT *, CASE WHEN weak THEN 'weak' WHEN ask_unverified THEN 'ask_unverified' WHEN insufficient THEN 'insufficient' WHEN due_for_review THEN 'due' ELSE 'normal' END AS status FROM f",
     "q_profile_totals": "SELECT count(*) AS attempts, count_if(correct) AS correct, round(count_if(correct) / count(*), 4) AS accuracy FROM attempts WHERE domain IS NOT NULL",

@@ -26,7 +26,9 @@ d AS (SELECT raw_id, CASE
         WHEN lower(f[9]) NOT IN ('true', 'false', '1', '0') THEN 'bad_needs_review' END AS reason FROM c)
 SELECT raw_id, reason FROM d WHERE reason IS NOT NULL
 """
+_COLUMNS = f"""f[1] AS id, f[2] AS source, try_cast({strip('f[3]')} AS INT) AS num, f[4] AS stem, f[5] AS options, f[6] AS answer, f[7] AS analysis, f[8] AS domain, lower(f[9]) IN ('true', '1') AS needs_review, f[10] AS dup_of, try_cast({strip('f[11]')} AS TIMESTAMP) AS created_at"""
 SQL: dict[str, str] = {
     "p1_found": _FOUND,
+    "p1_valid": _FOUND.replace("SELECT raw_id, reason FROM d WHERE reason IS NOT NULL", f"SELECT {_COLUMNS} FROM b JOIN d USING (raw_id) WHERE reason IS NULL"),
     "p1_reasons": _FOUND.replace("SELECT raw_id, reason FROM d WHERE reason IS NOT NULL", "SELECT reason, count(*) AS records FROM d WHERE reason IS NOT NULL GROUP BY reason"),
 }

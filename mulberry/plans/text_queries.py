@@ -102,7 +102,7 @@ def q_plain_windows(spark, d):
 
 
 def q_fixed_chunks(spark, d):
-    return chunking.fixed_chunks(table(spark, d, "documents").withColumnRenamed("doc_id", "id"))
+    return chunking.fixed_chunks(table(spark, d, "documents").withColumnRenamed("doc_id", "id")).select("id", "n", "start", "end", F.md5("text").alias("h"))
 
 
 def q_structured_chunks(spark, d):
@@ -110,7 +110,7 @@ def q_structured_chunks(spark, d):
 
 
 def q_legacy_chunks(spark, d):
-    return chunking.legacy_chunks(_kb(spark, d))
+    return chunking.legacy_chunks(_kb(spark, d)).select("id", "n", F.md5("text").alias("h"))
 
 
 def q_exact_dedup(spark, d):
@@ -178,6 +178,10 @@ _FILE_TOPIC = "CASE " + " ".join(f"WHEN contains(source, '{p}') THEN '{t}'" for
 _HITS = ", ".join(f"({words_hit('x', w)}, {-i}, '{t}')" for i, (t, w) in enumerate(questions.TOPIC_WORDS))
 _OPTION_KEYS = "CASE WHEN json_valid(options) THEN json_keys(options) ELSE []::VARCHAR[] END"
 _INTENT = INTENT
+# the end of a window: behind the last mark, tried in order, of its last two fifths
+_MARK = lambda m: f"length(substr(text, {{a}} + 1, 300)) - instr(reverse(substr(text, {{a}} + 1, 300)), {m})"
+_HAS = lambda m: f"instr(reverse(substr(text, {{a}} + 1, 300)), {m}) > 0 AND {_MARK(m)} >= 180"
+_CUT = "CASE WHEN {a} + 300 >= length(text) THEN length(text) " + " ".join(f"WHEN {_HAS(m)} THEN {{a}} + {_MARK(m)} + 1" for m in ("'。'", "'！'", "'？'", "chr(10)")) + " ELSE {a} + 300 END"
 LEVEL_ANY = LEVELS("level")
 
 SQL = {
@@ -190,14 +194,21 @@ SQL = {
     "q_query_intent": f"SELECT id, k AS kind, k IN ('process', 'fact') AS learned FROM (SELECT id, {_INTENT} AS k FROM question_signals)",
     "q_topic_classify": f"WITH t AS (SELECT id, lower(concat_ws(' ', stem, array_to_string(list_transform(json_keys(options), lambda k: json_extract_string(options, '$.' || k)), ' '), analysis)) AS x FROM questions), h AS (SELECT id, unnest([{_HITS}]) AS s FROM t) SELECT id, CASE WHEN max(s)[1] > 0 THEN max(s)[3] END AS topic FROM h GROUP BY id",
     "q_choice_grade": f"SELECT a.correct, CASE WHEN q.id IS NOT NULL THEN {CHOICE('a.choice')} = {CHOICE('q.answer')} END AS graded, count(*) AS n FROM attempts a LEFT JOIN questions q ON q.id = a.question_id GROUP BY ALL",
-    "q_line_classify": r"SELECT CASE WHEN regexp_matches(line, '^[\s]*[-—–]?\s*\d{1,4}\s*[-—–]?[\s]*$|^第\s*\d+\s*页') THEN 'page_number' WHEN regexp_matches(line, '^\s*(?:[-•·*●▪]|\d{1,2}[.、．)）]|[（(]\d{1,2}[)）])') THEN 'bullet' WHEN regexp_matches(line, '[。！？!?；;.]\s*$') THEN 'sentence' WHEN length(line) <= 30 THEN 'title' ELSE 'text' END AS kind, count(*) AS n FROM (SELECT unnest(string_split(text, chr(10))) AS line FROM documents) WHERE line <> '' GROUP BY ALL",
+    "q_line_classify": f"SELECT CASE WHEN regexp_matches(l, '{T.PAGE_LINE}') THEN 'page_number' WHEN regexp_matches(l, '{T.BULLET_LINE}') THEN 'bullet' WHEN right(l, 1) IN ('。', '！', '？', '!', '?', '；', ';', '：', ':') THEN 'sentence' WHEN length(l) <= 24 OR length(l) <= 45 AND regexp_matches(l, '{T.HEADING_LINE}') THEN 'title' ELSE 'text' END AS kind, count(*) AS n FROM (SELECT {strip('line')} AS l, line FROM (SELECT unnest(string_split(text, chr(10))) AS line FROM documents)) WHERE line <> '' GROUP BY ALL",
     "q_stable_id": "SELECT id, 'chunk_' || left(sha256(coalesce(source, '') || chr(31) || coalesce(page::VARCHAR, '') || chr(31) || coalesce(text, '')), 20) AS stable_id FROM kb_chunks",
     "q_embedding_text": f"SELECT id, md5(concat_ws(chr(10), '知识域：' || coalesce(domain, ''), CASE WHEN {_TITLE} <> '' THEN '知识点：' || {_TITLE} END, text)) AS h FROM kb_chunks",
     "q_hash_embed": "WITH c AS (SELECT id, unnest(string_split(question, '')) AS ch FROM question_signals), b AS (SELECT id, ('0x' || substr(md5(ch), 1, 2))::INT AS bin, count(*) AS n FROM c WHERE ch <> '' GROUP BY ALL) SELECT id, bin, round(n / sqrt(sum(n * n) OVER (PARTITION BY id)), 6) AS weight FROM b",
     "q_token_stats": f"SELECT doc_id, len(t) AS tokens, len(list_distinct(t)) AS kinds FROM (SELECT doc_id, {TOKENS(chr(116) + 'ext')} AS t FROM documents)",
-    "q_strip_repeated_lines": r"WITH l AS (SELECT source, id, line, pos, trim(line) AS told FROM (SELECT source, id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM kb_chunks)), z AS (SELECT source, count(DISTINCT id) AS pages FROM kb_chunks GROUP BY source), o AS (SELECT l.source, told FROM l JOIN z USING (source) WHERE told <> '' AND length(told) <= 60 GROUP BY l.source, told, pages HAVING count(DISTINCT id) >= greatest(3, ceil(0.01 * pages))) SELECT source, id, md5(string_agg(line, chr(10) ORDER BY pos)) AS h FROM l WHERE NOT regexp_matches(told, '^\s*[-—–]?\s*\d{1,4}\s*[-—–]?\s*$|^\s*第\s*\d+\s*页\s*$') AND NOT EXISTS (SELECT 1 FROM o WHERE o.source = l.source AND o.told = l.told) GROUP BY ALL",
+    "q_strip_repeated_lines": r"WITH l AS (SELECT source, id, line, pos, trim(line) AS told FROM (SELECT source, id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM kb_chunks)), z AS (SELECT source, count(DISTINCT id) AS pages FROM kb_chunks GROUP BY source), o AS (SELECT l.source, told FROM l JOIN z USING (source) WHERE told <> '' AND length(told) <= 60 GROUP BY l.source, told, pages HAVING count(DISTINCT id) >= greatest(3, ceil(0.01 * pages))) SELECT source, id, md5(string_agg(line, chr(10) ORDER BY pos)) AS h FROM l WHERE NOT regexp_matches(told, '^(?:[-—–]\s*)?(?:第\s*)?\d{1,4}(?:\s*页)?(?:\s*[-—–])?$') AND NOT EXISTS (SELECT 1 FROM o WHERE o.source = l.source AND o.told = l.told) GROUP BY ALL",
     "q_title_ffill": f"SELECT id, last_value(t IGNORE NULLS) OVER (PARTITION BY source ORDER BY page, id ROWS UNBOUNDED PRECEDING) AS title FROM (SELECT id, source, page, nullif({_TITLE}, '') AS t FROM kb_chunks)",
     "q_plain_windows": "SELECT id, s AS start, length(substr(text, s + 1, 300)) AS size, md5(substr(text, s + 1, 300)) AS hash FROM (SELECT doc_id AS id, text, unnest(range(0, greatest(length(text) - 101, 0) + 1, 200)) AS s FROM documents WHERE text <> '')",
+    "q_legacy_chunks": f"WITH RECURSIVE p AS (SELECT id, {_CLEAN} AS c FROM kb_chunks WHERE length(text) >= 10), u AS (SELECT id, unnest(x) AS s, generate_subscripts(x, 1) AS i FROM (SELECT id, regexp_extract_all(c, '{T.SENTENCES}') AS x FROM p WHERE length(c) > 1200)), "
+    "g AS (SELECT id, i, s, 1 AS g, length(s) AS n FROM u WHERE i = 1 UNION ALL SELECT u.id, u.i, u.s, CASE WHEN g.n + length(u.s) > 1200 THEN g.g + 1 ELSE g.g END, CASE WHEN g.n + length(u.s) > 1200 THEN length(u.s) ELSE g.n + length(u.s) END FROM g JOIN u ON u.id = g.id AND u.i = g.i + 1), "
+    f"t AS (SELECT id, g, string_agg(s, '' ORDER BY i) AS t FROM g GROUP BY id, g), h AS (SELECT id, g, a, {strip('substr(t, a, 1200)')} AS t FROM (SELECT id, g, t, unnest(range(1, length(t) + 1, 1200)) AS a FROM t)), "
+    "o AS (SELECT id, 1 AS g, 1 AS a, c AS t FROM p WHERE length(c) <= 1200 UNION ALL SELECT * FROM h WHERE t <> '') SELECT id, row_number() OVER (PARTITION BY id ORDER BY g, a) - 1 AS n, md5(t) AS h FROM o",
+    "q_fixed_chunks": "WITH RECURSIVE d AS (SELECT doc_id::VARCHAR AS id, text, length(text) AS n FROM documents WHERE text <> ''), "
+    "w(id, k, a, b) AS (SELECT id, 0, 0, " + _CUT.format(a="0") + " FROM d UNION ALL SELECT d.id, k + 1, w.b - 100, " + _CUT.format(a="(w.b - 100)") + " FROM w JOIN d USING (id) WHERE w.b - 100 > w.a AND w.b - 100 < d.n) "
+    "SELECT id, k AS n, a AS start, b AS \"end\", md5(substr(text, a + 1, b - a)) AS h FROM w JOIN d USING (id)",
     "q_exact_dedup": "WITH k AS (SELECT id, length(text) AS n, regexp_replace(lower(coalesce(text, '')), '[^\\p{L}\\p{N}_]+', '', 'g') AS key, CASE WHEN kind = 'summary' THEN 3 WHEN contains(lower(source), 'v4.2') THEN 2 ELSE 1 END AS p FROM kb_chunks) SELECT id FROM k WHERE length(key) < 6 UNION ALL SELECT id FROM (SELECT id, row_number() OVER (PARTITION BY key ORDER BY p DESC, n DESC, id) AS r FROM k WHERE length(key) >= 6) WHERE r = 1",
     "q_prefix_dup_of": f"WITH k AS (SELECT id, left({_MATCH}, 40) AS key FROM questions), f AS (SELECT id, min(id) OVER (PARTITION BY key) AS first_id FROM k WHERE key <> '') SELECT * FROM f WHERE id <> first_id",
     "q_self_check": f"WITH t AS (SELECT source, coalesce(nullif(trim(domain, ' '), ''), '未分类') AS topic, coalesce(answer, '') AS a, needs_review, dup_of, {_OPTION_KEYS} AS k FROM questions) SELECT source, topic, count(*) AS total, count_if(trim(a, ' ') = '') AS no_answer, count_if(topic = '未分类') AS no_domain, count_if(coalesce(needs_review, false) OR topic = '未分类' OR len(list_filter(regexp_extract_all(a, '[A-Z]'), lambda x: NOT list_contains(k, x))) > 0) AS needs_review, count_if(coalesce(trim(dup_of, ' '), '') <> '') AS duplicates FROM t GROUP BY GROUPING SETS ((), (source), (topic))",
