@@ -36,5 +36,24 @@ class Settings:
     memory_rounds: int = 5
     memory_k: int = 3
 
+    def problems(self) -> list[str]:
+        """What is wrong with the settings; nothing for the defaults."""
+        counts = ("k", "dense_k", "sparse_k", "rrf_k", "degraded_sparse_k", "topup_k", "rerank_k", "chunk_target", "chunk_max", "fixed_target", "memory_rounds", "memory_k")
+        shares = ("bm25_b", "relevance_floor", "rerank_alpha", "weak_threshold", "weak_probability", "due_strength", "dup_similarity")
+        found = [f"{n} must be 1 or more" for n in counts if getattr(self, n) < 1]
+        found += [f"{n} must lie between 0 and 1" for n in shares if not 0 <= getattr(self, n) <= 1]
+        found += [f"{n} must be above 0" for n in ("bm25_k1", "half_life_days", "elo_k") if getattr(self, n) <= 0]
+        if self.chunk_target > self.chunk_max:
+            found.append("chunk_target must not exceed chunk_max")
+        if not 0 <= self.fixed_overlap < self.fixed_target:
+            found.append("fixed_overlap must be smaller than fixed_target")
+        return found
+
+    def checked(self) -> Settings:
+        """These settings, or an error that names all that is wrong."""
+        if found := self.problems():
+            raise ValueError("; ".join(found))
+        return self
+
 
 DEFAULTS = Settings()

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from mulberry.functions.text import clean_cell, markdown_table
+
 FILLED, RATIO, FREE_COLUMNS, MOST_COLUMNS, MOST_CELLS, CAPTION = 8, 0.35, 9, 10, 100, 60
 
 
@@ -52,3 +54,23 @@ def caption(blocks: Column, box: Column) -> Column:
 def table_block(name: Column, markdown: Column) -> Column:
     """A table as it stands in a parent text."""
     return F.concat(F.lit("【表格】"), F.coalesce(name, F.lit("")), F.lit("\n"), markdown)
+
+
+COVERAGE = 0.75
+
+
+def page_tables(tables: Column, blocks: Column) -> Column:
+    """The tables of a page that are worth keeping, from the top down: array of box, markdown and caption.
+
+    tables: array of struct(box, rows, region), region being the text inside the box; blocks: array of struct(box, text). A table
+    is kept if its shape is meaningful and its cells hold three quarters of the characters of its region.
+    """
+    kept = F.filter(tables, lambda t: is_meaningful(t["rows"]) & (coverage(t["rows"], t["region"]) >= COVERAGE))
+    told = F.transform(kept, lambda t: F.struct(t["box"][1].alias("top"), t["box"].alias("box"), markdown_table(F.transform(t["rows"], lambda r: F.transform(r, clean_cell))).alias("markdown"), caption(blocks, t["box"]).alias("caption")))
+    return F.transform(F.array_sort(told), lambda t: F.struct(t["box"].alias("box"), t["markdown"].alias("markdown"), t["caption"].alias("caption")))
+
+
+def page_text(body: Column, tables: Column) -> Column:
+    """The parent text of a page: its body and then its tables (see page_tables), a blank line apart."""
+    shown = F.transform(tables, lambda t: table_block(t["caption"], t["markdown"]))
+    return F.array_join(F.concat(F.filter(F.array(F.trim(body)), lambda b: b != ""), F.coalesce(shown, F.array().cast("array<string>"))), "\n\n")

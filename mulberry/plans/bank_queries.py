@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from mulberry.functions import text as T
-from mulberry.operators import banks, learner, ltr, rerank
+from mulberry.operators import banks, catalog, exams, fusion, learner, ltr, rerank
 from mulberry.plans import learner_queries, retrieval_queries
 from mulberry.plans.sql import SPACES, strip
 from mulberry.sources.tables import table
@@ -76,6 +76,33 @@ def q_ltr_train(spark, d):
     return spark.createDataFrame(rows, "feature string, mean double, scale double, coef double")
 
 
+def q_exam_questions(spark, d):
+    """Questions in the lines of all documents, by how their answers are told."""
+    lines = table(spark, d, "documents").select(F.col("doc_id").alias("doc"), F.posexplode(F.split("text", "\\r\\n|\\r|\\n")).alias("at", "line"))
+    return exams.exam_questions(lines)
+
+
+def q_exam_lines(spark, d):
+    lines = table(spark, d, "documents").select(F.explode(F.split("text", "\n")).alias("line"))
+    return lines.groupBy(exams.exam_line(F.col("line")).alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def q_cached_vectors(spark, d):
+    """Texts that a cache of the even pages lacks are made (their length stands for a vector), each text once."""
+    kb = table(spark, d, "kb_chunks").select("id", "page", F.coalesce("text", F.lit("")).alias("text"))
+    key = F.md5(F.concat_ws("\x1f", F.lit("m"), F.lit("2"), F.col("text")))
+    cache = kb.where("page % 2 = 0").select(key.alias("key"), F.array(F.length("text"), F.lit(1)).alias("vector")).distinct()
+    told, _ = catalog.cached_or_made(kb, cache, lambda lacking: lacking.select("key", F.array(F.length("text"), F.lit(2)).alias("vector")), "m", 2)
+    return told.select("id", F.col("vector")[0].alias("n"), F.col("vector")[1].alias("way"))
+
+
+def q_scattered(spark, d):
+    """Scores of every second candidate, put back by index."""
+    told = retrieval_queries._candidates(spark, d).select("query_id", "id", F.col("rank").alias("index"))
+    scores = told.where(F.col("index") % 2 == 0).select("query_id", "index", (1 / F.col("index")).alias("rerank"))
+    return fusion.scattered(told, scores).select("query_id", "id", F.round("rerank", 6).alias("rerank"))
+
+
 def q_ask_bonus(spark, d):
     """Topics asked about at least three times, with their attempts."""
     asks = learner.ask_signals(table(spark, d, "question_signals")).where("asks >= 3")
@@ -100,6 +127,9 @@ SQL = {
     + ", wt AS (SELECT domain, round(w, 6) AS weight FROM u), p0 AS (SELECT id, domain FROM questions WHERE coalesce(answer, '') <> '' AND NOT coalesce(needs_review, false) AND coalesce(trim(dup_of, ' '), '') = ''), p1 AS (SELECT * FROM p0 WHERE id NOT IN (SELECT question_id FROM attempts WHERE correct AND question_id IS NOT NULL)), p2 AS (SELECT * FROM p1 UNION ALL SELECT * FROM p0 WHERE NOT EXISTS (SELECT 1 FROM p1)), "
     f"du AS (SELECT question_id AS id FROM review_cards WHERE due <= {learner_queries.NOW} AND question_id IN (SELECT id FROM p2) ORDER BY due, question_id LIMIT 20), tp AS (SELECT domain FROM wt WHERE weight > 0 AND domain IN (SELECT domain FROM p2) ORDER BY -ln((('0x' || left(md5('{learner_queries.SEED}|' || domain), 8))::BIGINT + 1) / 4294967296.0) / weight, domain LIMIT 1), "
     f"al AS (SELECT id, 0 AS way FROM du UNION ALL SELECT id, 1 FROM p2 WHERE domain IN (SELECT domain FROM tp)) SELECT id, way FROM al ORDER BY way, md5('{learner_queries.SEED}|' || id), id LIMIT 1",
+    "q_exam_lines": f"SELECT CASE WHEN regexp_matches(l, '{exams.KEY_LINE}') THEN 'key' WHEN regexp_matches(l, '{exams.KEY_RUN}') THEN 'keys' WHEN regexp_matches(l, '{exams.NOTE_LINE}') THEN 'note' WHEN regexp_matches(l, '{exams.OPTION_LINE}') THEN 'option' WHEN regexp_matches(l, '{exams.NUMBER_LINE}') THEN 'number' ELSE 'text' END AS kind, count(*) AS n FROM (SELECT unnest(string_split(text, chr(10))) AS l FROM documents) GROUP BY ALL",
+    "q_cached_vectors": "SELECT k.id, length(coalesce(text, '')) AS n, CASE WHEN coalesce(text, '') IN (SELECT coalesce(text, '') FROM kb_chunks WHERE page % 2 = 0) THEN 1 ELSE 2 END AS way FROM kb_chunks k",
+    "q_scattered": retrieval_queries._CAND + " SELECT query_id, id, CASE WHEN rank % 2 = 0 THEN round(1 / rank, 6) ELSE 0.0 END AS rerank FROM c",
     "q_ask_bonus": "WITH s AS (SELECT domain, count(*) AS asks FROM question_signals WHERE domain IS NOT NULL GROUP BY domain HAVING count(*) >= 3) SELECT s.domain, asks, coalesce(a.n, 0) AS attempts FROM s LEFT JOIN (SELECT domain, count(*) AS n FROM attempts GROUP BY domain) a ON a.domain = s.domain",
 }
 QUERIES = {name: f for name, f in globals().items() if name.startswith("q_")}

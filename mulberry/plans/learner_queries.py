@@ -196,6 +196,12 @@ def q_rate_limit_fixed(spark, d):
     return windows.denied(events, "user_id", F.col("t"), "t", 3, 86400)
 
 
+def q_ttl_cache(spark, d):
+    """Lookups of each user that a cache of a day answers."""
+    events = table(spark, d, "events").select("user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("t"))
+    return windows.cache_hits(events, "user_id", "t", 86400)
+
+
 def q_tumbling(spark, d):
     told = windows.tumbling_counts(table(spark, d, "events").select("ts", "event_type"), "ts", "event_type", "1 day")
     return told.withColumn("start", F.col("start").cast("timestamp_ntz"))
@@ -230,6 +236,8 @@ _FSRS = (
 )
 _DRAW = f"(('0x' || left(md5('{SEED}|' || p_partkey), 8))::BIGINT + 1) / 4294967296.0"
 
+_LIMITED = "WITH RECURSIVE t AS (SELECT user_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events), f AS (SELECT user_id, i, ts AS start, 1 AS n FROM t WHERE i = 1 UNION ALL SELECT t.user_id, t.i, CASE WHEN t.ts - f.start >= INTERVAL 1 DAY THEN t.ts ELSE f.start END, CASE WHEN t.ts - f.start >= INTERVAL 1 DAY THEN 1 ELSE f.n + 1 END FROM f JOIN t ON t.user_id = f.user_id AND t.i = f.i + 1) "
+
 SQL = {
     "q_topic_accuracy": "SELECT domain, count(*) AS attempts, count_if(correct) AS correct, max(answered_at) AS last_at FROM attempts WHERE domain IS NOT NULL GROUP BY domain",
     "q_ask_signals": "SELECT domain, count(*) AS asks, max(created_at) AS last_ask FROM question_signals WHERE domain IS NOT NULL GROUP BY domain",
@@ -265,7 +273,8 @@ SQL = {
     "q_structure_metrics": "SELECT kind, count(*) AS chunks, count(DISTINCT (source, page)) AS parents, round(avg(length(coalesce(text, ''))), 6) AS mean, max(length(coalesce(text, ''))) AS longest, round(100.0 * avg(regexp_matches(coalesce(text, ''), '^[^\\n。，]{1,30}\\n')::INT), 6) AS titled, round(1 - count(DISTINCT md5(text)) / count(*), 6) AS duplicates FROM kb_chunks GROUP BY kind",
     "q_topic_kind_histogram": "SELECT domain, kind, count(*) AS n FROM kb_chunks GROUP BY ALL",
     "q_props_json": "SELECT event_type, count(k) AS n, sum(k) AS total FROM (SELECT event_type, json_extract_string(props, '$.k')::INT AS k FROM events) GROUP BY event_type",
-    "q_rate_limit_fixed": "WITH RECURSIVE t AS (SELECT user_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events), f AS (SELECT user_id, i, ts AS start, 1 AS n FROM t WHERE i = 1 UNION ALL SELECT t.user_id, t.i, CASE WHEN t.ts - f.start >= INTERVAL 1 DAY THEN t.ts ELSE f.start END, CASE WHEN t.ts - f.start >= INTERVAL 1 DAY THEN 1 ELSE f.n + 1 END FROM f JOIN t ON t.user_id = f.user_id AND t.i = f.i + 1) SELECT user_id, count(*) AS hits, count_if(n > 3) AS denied FROM f GROUP BY user_id",
+    "q_rate_limit_fixed": _LIMITED + "SELECT user_id, count(*) AS hits, count_if(n > 3) AS denied FROM f GROUP BY user_id",
+    "q_ttl_cache": _LIMITED + "SELECT user_id, count(*) AS lookups, count_if(n > 1) AS hits FROM f GROUP BY user_id",
     "q_tumbling": "SELECT date_trunc('day', ts)::TIMESTAMP AS start, event_type, count(*) AS n FROM events GROUP BY ALL",
     "q_session": "WITH l AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER o < INTERVAL 1 DAY THEN 0 ELSE 1 END AS f FROM events WINDOW o AS (PARTITION BY user_id ORDER BY ts)), g AS (SELECT user_id, ts, sum(f) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM l) SELECT user_id, min(ts) AS start, count(*) AS n FROM g GROUP BY user_id, s",
 }

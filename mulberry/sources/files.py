@@ -8,7 +8,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-PAGE = "path string, page int, text string"
+PAGE = "path string, page int, text string, error string"
+#: Parts of what databases say of a table that doesn't exist.
+NO_TABLE = ("does not exist", "doesn't exist", "no such table", "not found", "unknown table", "invalid object name", "ora-00942")
 #: Longest text kept of an event's columns.
 EVENT_LIMITS = {"attempts": {"stem": 500}, "signals": {"question": 2000}, "metrics": {"question": 300}}
 
@@ -20,18 +22,18 @@ def json_rows(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 def document_pages(spark: SparkSession, folder: str, extract: Callable[[str, bytes], list[str]], pattern: str = "*") -> DataFrame:
     """``path``, ``page`` (from 1), ``text`` of every document below a folder. ``extract`` turns a name and its bytes into the texts of
-    its pages; it runs on the executors, a file at a time. A file it can't read gives one page with null text."""
+    its pages; it runs on the executors, a file at a time. A file it can't read gives one page with null text and what went
+    wrong as ``error`` (null otherwise)."""
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
             for path, content in zip(batch["path"], batch["content"]):
                 try:
-                    pages = extract(path, bytes(content))
-                except Exception:  # noqa: BLE001
-                    pages = [None]
-                rows += [(path, n, t) for n, t in enumerate(pages, 1)]
-            yield pd.DataFrame(rows, columns=["path", "page", "text"])
+                    rows += [(path, n, t, None) for n, t in enumerate(extract(path, bytes(content)), 1)]
+                except Exception as e:  # noqa: BLE001
+                    rows.append((path, 1, None, f"{type(e).__name__}: {e}"))
+            yield pd.DataFrame(rows, columns=["path", "page", "text", "error"])
 
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(folder)
     return files.select("path", "content").mapInPandas(read, PAGE)
@@ -44,11 +46,14 @@ def document_order(pages: DataFrame, summary: str = "总结") -> DataFrame:
 
 
 def jdbc_table(spark: SparkSession, url: str, name: str, **options: str) -> DataFrame | None:
-    """A table of a database, or None where it doesn't exist (older databases lack some)."""
+    """A table of a database, or None where the database says that it doesn't exist (older ones lack some). Anything else, a
+    wrong password or a network fault among it, is raised."""
     try:
         return spark.read.format("jdbc").options(url=url, dbtable=name, **options).load()
-    except Exception:  # noqa: BLE001
-        return None
+    except Exception as e:  # noqa: BLE001
+        if any(part in str(e).lower() for part in NO_TABLE):
+            return None
+        raise
 
 
 def append_events(df: DataFrame, path: str, kind: str) -> None:

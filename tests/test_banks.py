@@ -1,5 +1,6 @@
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from mulberry.functions import text as T
@@ -84,7 +85,8 @@ def test_files(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "v")).first().dim == 2
     files.write_rows(df, str(tmp_path / "j"), "json")
     assert files.json_rows(spark, str(tmp_path / "j"), "n int").count() == 1
-    assert files.jdbc_table(spark, "jdbc:none:x", "t") is None
+    with pytest.raises(Exception, match="(?i)driver"):  # a wrong address isn't a missing table
+        files.jdbc_table(spark, "jdbc:none:x", "t")
 
 
 def test_sources_of_all_pages(spark, tmp_path):
