@@ -28,10 +28,12 @@ def with_analyses(questions: DataFrame, analyses: DataFrame) -> tuple[DataFrame,
 
 
 def merged_numbers(questions: DataFrame) -> DataFrame:
-    """One row per source and number: the first id, the stems in order joined."""
-    item = F.struct("id", F.coalesce("stem", F.lit("")).alias("stem"))
-    told = questions.groupBy("source", "num").agg(F.array_sort(F.collect_list(item)).alias("all"))
-    return told.select("source", "num", F.col("all")[0]["id"].alias("id"), F.array_join(F.transform("all", lambda x: x["stem"]), "").alias("stem"))
+    """One row per source and number: the first id, the stems in order joined. Questions without number aren't repeats of one
+    another and stay as they are, so no group grows with the rows that lack one."""
+    told = questions.select("source", "num", "id", F.coalesce("stem", F.lit("")).alias("stem"))
+    held = told.where("num is not null").groupBy("source", "num").agg(F.array_sort(F.collect_list(F.struct("id", "stem"))).alias("all"))
+    merged = held.select("source", "num", F.col("all")[0]["id"].alias("id"), F.array_join(F.transform("all", lambda x: x["stem"]), "").alias("stem"))
+    return merged.unionByName(told.where("num is null"))
 
 
 def is_valid(answer: Column, options: Column) -> Column:

@@ -118,7 +118,7 @@ SQL = {
     "q_answer_key": f"WITH r AS (SELECT q.source, q.num, {_LETTERS} AS answer, row_number() OVER (PARTITION BY q.source, q.num ORDER BY answered_at DESC, a.id DESC) AS n FROM attempts a JOIN questions q ON q.id = a.question_id WHERE a.correct) SELECT q.id, coalesce(nullif(trim(q.answer, ' '), ''), r.answer) AS answer FROM questions q LEFT JOIN r ON r.source = q.source AND r.num = q.num AND r.n = 1",
     "q_analysis_backfill": f"WITH {_GIVEN} SELECT id, md5(CASE WHEN coalesce(analysis, '') = '' AND {_HEAD('stem')} = {_HEAD('s')} THEN a ELSE analysis END) AS h FROM questions LEFT JOIN g USING (num)",
     "q_analysis_conflicts": f"WITH {_GIVEN} SELECT id, num FROM questions JOIN g USING (num) WHERE {_HEAD('stem')} <> {_HEAD('s')}",
-    "q_same_number_merge": "SELECT source, num, min(id) AS id, md5(string_agg(coalesce(stem, ''), '' ORDER BY id)) AS h FROM questions GROUP BY source, num",
+    "q_same_number_merge": "SELECT source, num, min(id) AS id, md5(string_agg(coalesce(stem, ''), '' ORDER BY id)) AS h FROM questions GROUP BY source, num, CASE WHEN num IS NULL THEN id END",
     "q_structural_ok": f"WITH v AS (SELECT id, answer, list_transform(json_keys(options), lambda k: json_extract_string(options, '$.' || k)) AS v FROM questions) SELECT id, regexp_matches({strip(chr(99) + 'oalesce(answer, ' + chr(39) * 2 + ')')}, '^[ABCD]$') AND len(v) = 4 AND len(list_distinct(list_filter(v, lambda x: trim(x, ' ') <> ''))) = 4 AS valid FROM v",
     "q_gold_contract": "WITH c AS (SELECT question AS id, question, coalesce(domain, '') AS topic FROM question_signals), p AS (SELECT 'repeated_id' AS problem FROM (SELECT id FROM c GROUP BY id HAVING count(*) > 1) UNION ALL SELECT 'empty_question' FROM c WHERE coalesce(trim(question, ' '), '') = '' UNION ALL SELECT 'unknown_topic' FROM c WHERE topic NOT IN (SELECT domain FROM topics) UNION ALL SELECT 'uncovered_topic' FROM topics WHERE domain NOT IN (SELECT topic FROM c)) SELECT problem, count(*) AS n FROM p GROUP BY problem",
     "q_citation_support": "SELECT id, 2 AS cited, (page IS NOT NULL)::INT + (page = 1 AND contains(source, '别处'))::INT AS supported FROM kb_chunks",
