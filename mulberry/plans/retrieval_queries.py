@@ -8,7 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from mulberry.config import DEFAULTS as S
@@ -209,7 +209,7 @@ def q_grid_search(spark, d):
     told = ranked.crossJoin(F.broadcast(grid)).where(F.col("rank") <= F.col("depth"))
     total = truth.agg(F.count(F.lit(1)).alias("n"))
     per = told.groupBy("depth", "constant", "query_id").agg(F.max(F.col("relevant").cast("int")).alias("hit"), F.sum(F.when(F.col("relevant"), 1 / (F.col("constant") + F.col("rank"))).otherwise(0.0)).alias("gain"))
-    return per.groupBy("depth", "constant").agg(F.sum("hit").alias("hits"), F.round(F.sum("gain"), 6).alias("gain")).crossJoin(F.broadcast(total)).select("depth", "constant", F.round(F.col("hits") / F.col("n"), 6).alias("recall"), "gain")
+    return per.groupBy("depth", "constant").agg(F.sum("hit").alias("hits"), F.round(F.sum("gain"), 6).alias("gain")).crossJoin(F.broadcast(total)).select("depth", "constant", F.round(F.col("hits") / F.col("n"), 6).alias("recall"), "gain").withColumn("rank", F.row_number().over(Window.orderBy(F.col("recall").desc(), F.col("gain").desc(), "depth", "constant")))  # a row for each setting
 
 
 def q_ab_rank_diff(spark, d):
@@ -379,7 +379,7 @@ SQL = {
     "q_relevance_gate": _VEC + " SELECT query_id, score, score < 0.45 AS refused FROM t WHERE rank = 1",
     "q_eval_metrics": _METRICS + " SELECT query_id, recall1, recall3, recall5, recall10, rr, ndcg10 FROM m",
     "q_eval_grouped": _METRICS + ", y AS (SELECT *, query_id % 2 AS half FROM m) SELECT label, half, count(*) AS queries, round(avg(recall1), 6) AS recall1, round(avg(recall10), 6) AS recall10, round(avg(rr), 6) AS rr, round(avg(ndcg10), 6) AS ndcg10 FROM y GROUP BY GROUPING SETS ((), (label), (half))",
-    "q_grid_search": _VEC + ", g AS (SELECT * FROM (VALUES (1), (3), (5), (10)) a(depth), (VALUES (10), (20), (60)) b(constant)), y AS (SELECT depth, constant, query_id, max((label = want)::INT) AS hit, sum(CASE WHEN label = want THEN 1 / (constant + rank) ELSE 0 END) AS gain FROM t, g WHERE rank <= depth GROUP BY ALL) SELECT depth, constant, round(sum(hit) / (SELECT count(*) FROM embeddings WHERE vec_id % 100 = 0), 6) AS recall, round(sum(gain), 6) AS gain FROM y GROUP BY ALL",
+    "q_grid_search": _VEC + ", g AS (SELECT * FROM (VALUES (1), (3), (5), (10)) a(depth), (VALUES (10), (20), (60)) b(constant)), y AS (SELECT depth, constant, query_id, max((label = want)::INT) AS hit, sum(CASE WHEN label = want THEN 1 / (constant + rank) ELSE 0 END) AS gain FROM t, g WHERE rank <= depth GROUP BY ALL) SELECT *, row_number() OVER (ORDER BY recall DESC, gain DESC, depth, constant) AS rank FROM (SELECT depth, constant, round(sum(hit) / (SELECT count(*) FROM embeddings WHERE vec_id % 100 = 0), 6) AS recall, round(sum(gain), 6) AS gain FROM y GROUP BY ALL)",
     "q_ab_rank_diff": _TWO + " SELECT coalesce(a.query_id, b.query_id) AS query_id, coalesce(a.id, b.id) AS id, a.rank AS rank_a, b.rank AS rank_b FROM (SELECT * FROM r WHERE rank <= 10) a FULL JOIN (SELECT * FROM r2 WHERE rank <= 10) b ON a.query_id = b.query_id AND a.id = b.id WHERE a.rank IS DISTINCT FROM b.rank",
     "q_threshold_gate": _METRICS + ", v AS (SELECT 'recall1' AS metric, round(avg(recall1), 6) AS value FROM m UNION ALL SELECT 'recall10', round(avg(recall10), 6) FROM m UNION ALL SELECT 'rr', round(avg(rr), 6) FROM m) SELECT g.metric, v.value, g.threshold FROM (VALUES ('recall1', 0.9), ('recall10', 0.0), ('rr', 0.99), ('answered', 0.5)) g(metric, threshold) LEFT JOIN v USING (metric) WHERE v.value IS NULL OR v.value < g.threshold",
 }
