@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from mulberry.config import DEFAULTS
@@ -37,6 +37,27 @@ def postings(corpus: DataFrame, tokens: Column, key: str = "id", asked: DataFram
     return tf.join(df, "term").crossJoin(F.broadcast(stats))  # one row
 
 
+def save_index(corpus: DataFrame, tokens: Column, path: str, key: str = "id", parts: int = 256) -> None:
+    """Write the whole index: postings in ``parts`` folders by the hash of the term, and beside them the totals. A search then reads
+    the folders of its terms only, and no text is cut again."""
+    index = postings(tokenised(corpus, tokens, key), F.col("tokens"), key)
+    part = F.pmod(F.xxhash64("term"), F.lit(parts)).cast("int")
+    index.drop("n_docs", "avg_length").withColumn("part", part).repartition("part").sortWithinPartitions("part", "term").write.mode("overwrite").partitionBy("part").parquet(f"{path}/postings")
+    told = corpus.select(F.size(tokens).alias("length")).agg(F.count(F.lit(1)).alias("n_docs"), F.avg("length").alias("avg_length"))
+    told.withColumn("parts", F.lit(parts)).coalesce(1).write.mode("overwrite").parquet(f"{path}/totals")
+
+
+def saved_index(spark: SparkSession, path: str, asked: DataFrame) -> DataFrame:
+    """The postings of the asked terms (queries with ``tokens``) as written by save_index; folders without such a term aren't read."""
+    totals = spark.read.parquet(f"{path}/totals")
+    parts = totals.first().parts
+    wanted = asked.select(F.explode("tokens").alias("term")).distinct().withColumn("part", F.pmod(F.xxhash64("term"), F.lit(parts)).cast("int"))
+    folders = [r.part for r in wanted.select("part").distinct().collect()]  # at most as many as there are folders
+    held = spark.read.parquet(f"{path}/postings").where(F.col("part").isin(folders))
+    kept = held.join(F.broadcast(wanted.select("term")) if wanted.count() <= BROADCAST_TERMS else wanted.select("term"), "term", "left_semi")
+    return kept.drop("part").crossJoin(F.broadcast(totals.select("n_docs", "avg_length")))  # one row
+
+
 def bm25(queries: DataFrame, index: DataFrame, key: str = "id", k1: float = DEFAULTS.bm25_k1, b: float = DEFAULTS.bm25_b) -> DataFrame:
     """``query_id``, key, ``score`` of every document that shares a term. queries: query_id, tokens; a term that a
     query repeats counts as often."""

@@ -113,3 +113,21 @@ def test_dense_sides_may_be_empty(spark):
 def test_nearest_breaks_ties_by_the_earlier_column():
     scores = np.array([[0.5, 0.9, 0.5, 0.5], [0.1, 0.1, 0.1, 0.1]])
     assert dense.nearest(scores, 2).tolist() == [[1, 0], [0, 1]] and dense.nearest(scores, 9).shape == (2, 4)
+
+
+def test_a_saved_index_scores_alike(spark, tmp_path):
+    corpus = spark.createDataFrame([("a", "第三级 等级保护"), ("b", "3级 保护"), ("c", ""), ("d", None)], "id string, t string")
+    asked = spark.createDataFrame([(1, ["3", "级保"]), (2, ["保护", "无此词"])], "query_id bigint, tokens array<string>")
+    tokens = T.tokens(F.coalesce("t", F.lit("")))
+    lexical.save_index(corpus, tokens, str(tmp_path / "index"), parts=7)
+    told = lambda index: {(r.query_id, r.id): r.score for r in lexical.bm25(asked, index).collect()}
+    want = told(lexical.postings(corpus.select("id", tokens.alias("x")), F.col("x"), asked=asked))
+    assert want and told(lexical.saved_index(spark, str(tmp_path / "index"), asked)) == want
+    assert told(lexical.saved_index(spark, str(tmp_path / "index"), asked.limit(0))) == {}
+
+
+def test_levels_of_all_writings_are_one_token(spark):
+    told = [("第三级", "3级"), ("三级", "3级"), ("3级", "3级"), ("第十一级", "11级"), ("十五级", "15级"), ("二十级", "20级"), ("三十二级和十级", "32级和10级"), ("一二级", "一二级"), ("第一二级", "一二级"), ("十", "十"), (None, None), ("", "")]
+    df = spark.createDataFrame(told, "c string, want string")
+    assert [(r.got, r.want) for r in df.select(T.level_numbers(F.col("c")).alias("got"), "want").collect()] == [(w, w) for _, w in told]
+    assert df.limit(3).select(T.tokens(F.concat(F.lit("定为"), "c")).alias("t")).distinct().count() == 1
