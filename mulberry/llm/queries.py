@@ -84,7 +84,14 @@ r AS (SELECT group_id, 'answer' AS field, id, row_number() OVER (PARTITION BY gr
 SELECT group_id, field, id FROM r WHERE i = 1
 """
 
+_RANKED, _PICKED = _P6.split("r AS (")
+_SURVIVORS = (
+    _RANKED + "r AS (" + _PICKED.replace("SELECT group_id, 'answer' AS field, id,", "SELECT group_id, 'answer' AS field, id, a AS told,").replace("SELECT group_id, 'analysis', id,", "SELECT group_id, 'analysis', id, n,").rsplit("SELECT", 1)[0]
+    + "SELECT g.group_id, g.members, x.told AS answer, x.id AS answer_from, y.told AS analysis, y.id AS analysis_from FROM (SELECT DISTINCT group_id, members FROM m WHERE members > 1) g LEFT JOIN r x ON x.group_id = g.group_id AND x.i = 1 AND x.field = 'answer' LEFT JOIN r y ON y.group_id = g.group_id AND y.i = 1 AND y.field = 'analysis'"
+)
+
 SQL: dict[str, str] = {
+    "p6_survivors": _SURVIVORS,
     "p4_found": "SELECT id FROM kb_chunks WHERE length(text) > 1200",
     "p6_found": _P6,
 }
