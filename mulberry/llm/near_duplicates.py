@@ -33,6 +33,8 @@ PERMUTATIONS, BINS, ROWS = 5, 64, 4
 SMALL = 48
 #: Words of 64 bits in which a set's pieces are marked, to rule out pairs without shipping the sets.
 MARKS = 8
+#: Records that are sketched at once; bounds the memory of a Python worker.
+STEP = 1_000
 _NOT_LETTER = re.compile(r"[\W_]+")
 _MIX = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB], dtype=np.uint64)
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -116,16 +118,18 @@ def sketches(df: DataFrame, model: ScriptModel, key: str = "id", stem: str = "st
 
     def sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         fold = ScriptModel(counts).fold
-        for batch in batches:
-            sets = [shingles(plain_pieces(fold, s, o)) for s, o in zip(batch["s"], batch["o"])]
-            keys = band_keys(sets)
-            yield pd.DataFrame({
-                "id": batch["id"],
-                "content": [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets],
-                "pieces": sets,
-                "bands": [k if len(s) else k[:0] for s, k in zip(sets, keys)],
-                "marks": list(mark_words(sets)),
-            })
+        for whole in batches:
+            for at in range(0, len(whole), STEP):
+                batch = whole.iloc[at : at + STEP]
+                sets = [shingles(plain_pieces(fold, s, o)) for s, o in zip(batch["s"], batch["o"])]
+                keys = band_keys(sets)
+                yield pd.DataFrame({
+                    "id": batch["id"].to_numpy(),
+                    "content": [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets],
+                    "pieces": sets,
+                    "bands": [k if len(s) else k[:0] for s, k in zip(sets, keys)],
+                    "marks": list(mark_words(sets)),
+                })
 
     plain = df.select(F.col(key).cast("string").alias("id"), F.col(stem).alias("s"), F.col(options).alias("o"))
     return plain.mapInPandas(sketch, "id string, content binary, pieces array<bigint>, bands array<bigint>, marks array<bigint>")
