@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import difflib
 from collections import Counter
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
@@ -53,6 +53,21 @@ def topic_by_words(text: Column, rules: Sequence[tuple[str, Sequence[str]]] = TO
     return let(let(F.lower(text), best), lambda b: F.when(b["n"] > 0, b["t"]))
 
 
+def labelled(questions: DataFrame, topics: DataFrame, labeller: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """``id``, ``topic`` of every question: by its words (stem, options and analysis), else what the labeller says, else null.
+
+    labeller: (id, text) -> (id, topic) for questions without a topic by words only, e.g. a hosted model; a topic that isn't in
+    ``topics`` (domain) doesn't count, of several for one id the smallest does. The options may be any text.
+    """
+    options = F.coalesce(F.array_join(F.map_values(F.from_json("options", "map<string,string>")), " "), F.lit(""))
+    told = questions.select("id", F.concat_ws(" ", "stem", options, "analysis").alias("text")).withColumn("topic", topic_by_words(F.col("text")))
+    if labeller is None:
+        return told.select("id", "topic")
+    known = topics.select(F.col("domain").alias("topic")).distinct()
+    more = labeller(told.where("topic is null").select("id", "text")).join(known, "topic", "left_semi").groupBy("id").agg(F.min("topic").alias("__more"))
+    return told.join(more, "id", "left").select("id", F.coalesce("topic", "__more").alias("topic"))
+
+
 def prefix_duplicates(questions: DataFrame, length: int = 40, strip_number: bool = False) -> DataFrame:
     """``id``, ``first_id``: questions whose first characters (blanks and punctuation aside) equal those of an earlier one."""
     stem = F.regexp_replace("stem", r"^\s*\d{1,4}\s*[、.．]\s*", "") if strip_number else F.col("stem")

@@ -156,3 +156,12 @@ def test_scatter(spark):
     told = spark.createDataFrame([(1, 0), (1, 1)], "query_id int, index int")
     scores = spark.createDataFrame([(1, 1, 0.7), (1, 9, 0.1)], "query_id int, index int, rerank double")
     assert {r["index"]: r.rerank for r in fusion.scattered(told, scores).collect()} == {0: 0.0, 1: 0.7}
+
+
+def test_labels_by_words_and_by_a_labeller(spark):
+    df = spark.createDataFrame([("a", "业务连续性 RTO RPO", '{"A": "x"}', None), ("b", "没有这些词", "坏", ""), ("c", None, None, None), ("d", "也没有", "{}", "")], "id string, stem string, options string, analysis string")
+    topics = spark.createDataFrame([("业务连续性",), ("法律",)], "domain string")
+    assert {r.id: r.topic for r in questions.labelled(df, topics).collect()} == {"a": "业务连续性", "b": None, "c": None, "d": None}
+    said = lambda rest: rest.select("id", F.when(F.col("id") == "b", "法律").otherwise("别的").alias("topic"))
+    assert {r.id: r.topic for r in questions.labelled(df, topics, said).collect()} == {"a": "业务连续性", "b": "法律", "c": None, "d": None}
+    assert questions.labelled(df.limit(0), topics, said).count() == 0
