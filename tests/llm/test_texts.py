@@ -163,6 +163,14 @@ def test_closing_words_on_held_out_documents(spark):
     assert len(got & want) / len(want) > 0.95 and len(got & want) / len(got) > 0.9
 
 
+def test_equal_tables_give_equal_weights(spark):
+    rows = [r[:3] for r in made_documents(300, 3)]
+    schema = "doc_id bigint, source string, text string"
+    a = truncation.fit_closings(spark.createDataFrame(rows, schema).repartition(1))
+    b = truncation.fit_closings(spark.createDataFrame(rows[::-1], schema).repartition(7))
+    assert (a.weights == b.weights).all() and a.share == b.share
+
+
 def test_copies_cut_at_any_share_are_aligned(spark):
     """Copies cut within a word at 20 to 95 % of the text: alignment decides at least nine of ten."""
     rng = random.Random(5)
