@@ -199,7 +199,7 @@ SQL = {
     "q_full_profile": f"WITH RECURSIVE {_ELO}, {_PROFILE}, s2 AS ({learner_queries.SQL['q_streaks']}) SELECT f.domain, CASE WHEN attempts > 0 THEN round(correct / attempts, 4) END AS accuracy, round(({NOW} - l.last_at) / 86400, 6) AS last_seen_days, round(coalesce(elo, 1500), 1) AS rating, coalesce(streak, 0) AS streak, coalesce(best_streak, 0) AS best_streak, mastery, weak FROM f LEFT JOIN elo USING (domain) LEFT JOIN s2 USING (domain) LEFT JOIN (SELECT domain, max(answered_at) AS last_at FROM attempts GROUP BY domain) l USING (domain)",
     "q_flagged_topics": f"WITH {_PROFILE} SELECT 'weak' AS flag, domain FROM f WHERE weak UNION ALL SELECT 'review_due', domain FROM f WHERE due_for_review UNION ALL SELECT 'ask_unverified', domain FROM f WHERE ask_unverified",
     "q_summary": f"WITH {_PROFILE} SELECT sum(attempts)::BIGINT AS total_attempts, round(sum(correct) / sum(attempts), 4) AS total_accuracy, count_if(weak) AS weak_topics, count_if(due_for_review) AS due_topics, count_if(ask_unverified) AS unverified_topics, (SELECT count(*) FROM review_cards WHERE due <= {NOW}) AS due_cards FROM f",
-    "q_simulated_profile": f"WITH s AS (SELECT domain, topic_no * 0.09::DOUBLE AS ability, unnest(range(1, 201)) AS k FROM topics) SELECT domain, count(*) AS attempts, count_if((('0x' || left(md5('{learner_queries.SEED}|' || domain || '|' || k), 8))::BIGINT + 1) / 4294967296.0 <= ability) AS correct, 1.0 AS last_days FROM s GROUP BY domain",
+    "q_simulated_profile": f"WITH s AS (SELECT domain, topic_no * 0.09::DOUBLE AS ability, unnest(range(1, 201)) AS k FROM topics) SELECT domain, count(*) AS attempts, count_if((('0x' || left(md5('{learner_queries.SEED}|' || domain || '|' || k), 8))::BIGINT + 1) / 4294967296.0 <= ability) AS correct, 1.0::DOUBLE AS last_days FROM s GROUP BY domain",
     "q_round_text": "SELECT id, md5('意图: ' || coalesce(intent, '') || chr(10) || '用户: ' || coalesce(question, '') || chr(10) || '助手: ' || coalesce('答：' || question, '')) AS h FROM question_signals",
     "q_redacted": "SELECT id, source, domain, md5(stem) AS stem, md5(options) AS options FROM questions",
     "q_generated_questions": f"SELECT 'ai_' || ({int(NOW * 1000)} + row_number() OVER (ORDER BY stem) - 1) AS id, 'AI生成' AS source, 0 AS num, md5(stem) AS h FROM questions WHERE domain IS NULL",

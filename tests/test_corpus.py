@@ -104,3 +104,25 @@ def test_memory(spark):
     assert [tuple(r) for r in memory.threads(rounds).collect()] == [("t", 3.0, 4)]
     got = [r.content for r in memory.messages(rounds, 3).orderBy(F.col("n").desc()).collect()]
     assert got == ["a2", "q3", "a3"]
+
+
+@pytest.mark.parametrize("line,title", [("第三章 访问控制模型及其在信息系统中的应用与发展综述第一节", True), ("2.1.3 访问控制", False), ("短标题", True), ("短句。", False), ("提示：", False), ("- 项目", False), ("（一）项目", False), ("二、项目", False), ("没有编号的一行文字超过了二十四个字所以不是标题而是正文内容", False), ("第一章" + "长" * 43, False), ("", False)])
+def test_titles(line, title):
+    assert chunking.looks_like_title(line) is title
+
+
+def test_sentences_are_packed_and_long_ones_stand_alone():
+    assert chunking.split_long("甲乙。丙丁！！戊", 20) == ["甲乙。丙丁！！戊"]
+    assert chunking.split_long("甲乙。丙丁！！戊己", 6) == ["甲乙。丙丁！", "戊己"]
+    assert chunking.split_long("甲。" + "长" * 7 + "。乙。", 5) == ["甲。", "长" * 5, "长长。", "乙。"]
+    assert chunking.split_long("短。   \n\n " + "长" * 9, 8) == ["短。", "长" * 7, "长长"]  # the blank in front counts for the cut
+
+
+def test_children_overlap_and_never_exceed_the_limit():
+    units = [c * 100 + "。" for c in "甲乙丙丁"]
+    assert chunking.pack_units(units, 220, 420, 1) == ["\n".join(units[a : a + 2]) for a in range(3)]
+    assert chunking.pack_units(units, 220, 420, 0) == ["\n".join(units[:2]), "\n".join(units[2:])]
+    # a short tail joins the child before it, and what is then too long is split
+    assert chunking.pack_units([*units[:2], "尾。"], 203, 420, 0) == ["\n".join([*units[:2], "尾。"])]
+    assert all(len(c) <= 205 for c in chunking.pack_units([*units[:2], "尾尾尾尾。"], 203, 205, 0))
+    assert chunking.pack_units([], 220, 420, 1) == []
