@@ -95,21 +95,13 @@ def ln_gamma(x: Column) -> Column:
     return series - shift
 
 
-def probability_below(a: Column, b: Column, x: float, steps: int = 400) -> Column:
-    """P(θ < x) of Beta(a, b) for whole a, b: the binomial tail up to 400 trials, beyond that the integral of the density by
-    Simpson's rule within 12 deviations of its mean. The cost doesn't grow with the number of trials.
-    """
-    a, b = a.cast("double"), b.cast("double")
-    mean = a / (a + b)
-    deviation = F.sqrt(mean * (1 - mean) / (a + b + 1))
-    low = F.greatest(mean - 12 * deviation, F.lit(1e-12))
-    width = (F.least(mean + 12 * deviation, F.lit(x)) - low) / steps
-    scale = ln_gamma(a + b) - ln_gamma(a) - ln_gamma(b)
-    density = lambda t: F.exp(scale + (a - 1) * F.log(t) + (b - 1) * F.log(1 - t))
-    weight = lambda i: F.when((i == 0) | (i == steps), 1.0).when(i % 2 == 1, 4.0).otherwise(2.0)
-    total = F.aggregate(F.sequence(F.lit(0), F.lit(steps)), F.lit(0.0), lambda acc, i: acc + weight(i) * density(low + i * width)) / 3
-    smooth = F.when(width <= 0, 0.0).otherwise(F.least(total * width, F.lit(1.0)))
-    return F.when(a + b <= 402, binomial_tail(F.when(a + b <= 402, a).otherwise(1.0), F.when(a + b <= 402, b).otherwise(1.0), x)).otherwise(smooth)
+def probability_below(a: Column, b: Column, x: float) -> Column:
+    """P(θ < x) of Beta(a, b), by the continued fraction of its distribution at every size; null where a or b isn't above 0."""
+
+    def below(xs: pd.Series, ys: pd.Series) -> pd.Series:
+        return pd.Series([_beta_below(p, q, x) if p > 0 and q > 0 else None for p, q in zip(xs, ys)], dtype="float64")
+
+    return F.pandas_udf(below, "double")(a.cast("double"), b.cast("double"))
 
 
 def binomial_tail(a: Column, b: Column, x: float) -> Column:
