@@ -190,3 +190,13 @@ def test_marks_rule_out_no_pair(spark):
     df = spark.createDataFrame(rows, names)
     told = df.select("share", N.may_reach(0.6).alias("may")).collect()
     assert all(r.may for r in told if r.share >= 0.6) and sum(not r.may for r in told) > 20
+
+
+def test_sets_and_bands_are_never_broadcast(spark, monkeypatch, tmp_path):
+    plans, real = [], N.checkpointed
+    monkeypatch.setattr(N, "checkpointed", lambda df: (plans.append(df._jdf.queryExecution().sparkPlan().toString()), real(df))[1])
+    spark.createDataFrame(made(), SCHEMA).write.parquet(f"{tmp_path}/q")  # a file has a size, which the estimates start from
+    N.version_pairs(spark.read.parquet(f"{tmp_path}/q"))
+    shared_buckets, stars, verdicts = plans[2:5]
+    for plan, joins in ((shared_buckets, 1), (stars, 3), (verdicts, 4)):
+        assert plan.count("SortMergeJoin") == joins and "BroadcastHashJoin" not in plan
