@@ -250,3 +250,10 @@ def test_a_part_names_a_key_of_the_whole(n):
         whole = "".join(rng.choice("安全管理") for _ in range(n + rng.randrange(1, 40)))
         part = whole[rng.choice([0, 0, 3, 8]) :][:n] if n >= 24 else whole[:n]
         assert set(truncation.tail_keys(part)[2].tolist()) & set(truncation.tail_keys(whole)[0].tolist())
+
+
+def test_texts_are_never_broadcast(spark, tmp_path):
+    df = spark.createDataFrame([(1, "s", "一行文字。\n又一行文字还没有"), (2, "s", "一行文字。\n又一行文字还没有写完。")], "doc_id bigint, source string, text string")
+    df.write.parquet(f"{tmp_path}/d")  # a file has a size, which the estimates start from
+    plan = truncation.broken_copies(spark.read.parquet(f"{tmp_path}/d"))._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("SortMergeJoin") == 5 and "BroadcastHashJoin" not in plan
