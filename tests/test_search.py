@@ -131,3 +131,23 @@ def test_levels_of_all_writings_are_one_token(spark):
     df = spark.createDataFrame(told, "c string, want string")
     assert [(r.got, r.want) for r in df.select(T.level_numbers(F.col("c")).alias("got"), "want").collect()] == [(w, w) for _, w in told]
     assert df.limit(3).select(T.tokens(F.concat(F.lit("定为"), "c")).alias("t")).distinct().count() == 1
+
+
+def test_bm25_in_blocks_equals_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(lexical, "BLOCK_ROWS", 40)
+    monkeypatch.setattr(lexical, "BLOCK_QUERIES", 3)
+    monkeypatch.setattr(lexical, "STEP", 2)
+    rng = np.random.default_rng(3)
+    words = lambda n: [f"w{x}" for x in rng.zipf(1.4, n) % 30]
+    texts = [words(rng.integers(0, 12)) for _ in range(120)]
+    rows = [(f"d{i:03d}", t) for i, t in enumerate(texts + texts[:30] * 3)] + [("d000", ["w1", "w2"]), (None, ["w1"]), ("z", None)]
+    corpus = spark.createDataFrame(rows, "id string, tokens array<string>")
+    asked = spark.createDataFrame([*[(i, words(i)) for i in range(8)], (1, ["w1"]), (9, None), (10, ["none"])], "query_id bigint, tokens array<string>")
+    index = lexical.postings(corpus, F.col("tokens"), asked=asked)
+    want = lexical.top_k(lexical.bm25(asked, index).where("score > 0"), 5)
+    got = lexical.bm25_top_k(asked, index, 5, 213)
+    told = lambda df: sorted((tuple(r) for r in df.select("query_id", "id", "score", "rank").collect()), key=str)
+    assert told(got) == told(want) and len(told(got)) > 30
+    assert lexical.bm25_top_k(asked.limit(0), index, 5, 213).count() == 0 and lexical.bm25_top_k(asked, index.limit(0), 5, 0).count() == 0
+    # what is shuffled follows postings and queries, not their pairs
+    assert "HashAggregate(keys=[query_id" not in got._jdf.queryExecution().sparkPlan().toString()
